@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_bpe_encode_decode
+from .htmltext import op10_html_extraction
+from .packing import op6_best_fit_packing
 from .simhash import op9_simhash_near_dedup
+from .toxicity import op7_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_simhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bpe_encode_decode, op6_best_fit_packing, op7_toxicity, op9_simhash_near_dedup, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {}
