@@ -85,6 +85,34 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20)
             at = to
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The table with its id (long) and text (string) again behind its own columns; the place of that id."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{id_col}`").cast("long").alias(free_name(docs, "id")), F.col(f"`{text_col}`").cast("string").alias(free_name(docs, "text"))), len(docs.columns)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def appended(batch: pa.RecordBatch, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """The first n columns of a batch with some more."""
+    return pa.RecordBatch.from_arrays([*batch.columns[:n], *columns.values()], names=[*batch.schema.names[:n], *columns])
+
+
+def widened(docs: DataFrame, **kinds: str):
+    """The table's schema with some more columns."""
+    from pyspark.sql import types as T
+
+    out = T.StructType(list(docs.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, T.DataType.fromDDL(kind))
+    return out
+
+
 def fold(doc_id: int | None, folds: int) -> int:
     """crc32 of the id as text, modulo folds; a null id counts as the text ''."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds

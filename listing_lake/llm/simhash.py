@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -91,6 +91,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with their columns as they are, of which each group keeps the one with the smallest id.
+
+    Of rows with the same id the one with the smallest text stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col).where("id is not null").groupBy("id").agg(F.min("component").alias("component"))
+    name = common.free_name(docs, "keep_id")
+    kept = found.where("id = component").select(F.col("id").alias(name))
+    place = common.free_name(docs, "place")
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name)).drop(name)
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    return known.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

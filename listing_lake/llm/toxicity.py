@@ -173,6 +173,22 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, score double, evidence array<struct<id: long, cosine: double, toxic: int>>")
 
 
+def without_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The documents, with their columns as they are, that score below `reject`; texts cross no shuffle."""
+    common.share_code(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    rows, n = common.carried(docs, id_col, text_col)
+    flag = common.free_name(docs, "toxicity")
+
+    def work(batches):
+        index = sent.value
+        for batch in common.slices(batches, n + 1):
+            vectors = [index.vector(counts_of(t)) for t in texts_of(batch, n + 1)]
+            yield common.appended(batch, n, **{flag: pa.array([index.score(index.nearest(v) if v else []) for v in vectors], pa.float64())})
+
+    return rows.mapInArrow(work, common.widened(docs, **{flag: "double"})).where(F.col(flag) < reject).drop(flag)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """The labelled rows to learn from: crc32 of the id modulo 4 is not 2."""
     return labels.where(common.fold_of("doc_id", FOLDS) != HELD_OUT)
