@@ -14,6 +14,8 @@ Rows: a null or empty text has the end id alone; documents with a null or repeat
 
 from __future__ import annotations
 
+import base64
+import functools
 import zlib
 
 import numpy as np
@@ -23,25 +25,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import texts_of, vocabulary
+from .bpe import texts_of
 
+#: A mark that the tokenizers library reads as its special token also within a text.
+END_MARK, END_MARK_ID = "<|endoftext|>", 50256
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str):
+    """The byte-level vocabulary of a file of ranks; one for each worker process."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_MARK: END_MARK_ID})
+
+
+def ids_of(text: str, path: str) -> list[int]:
+    """The ids that the tokenizers library gives with the same vocabulary, add_special_tokens=False."""
+    enc = encoder(path)
+    return enc.encode(text, allowed_special="all") if END_MARK in text else enc.encode_ordinary(text)
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 2, room: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document, with the crc32 of its ids."""
     common.share_code(docs.sparkSession)
 
     def work(batches):
-        vocab = vocabulary(path)
-        make = lambda ids: np.array(ids, "<u4").tobytes()
-        end = make([end_id])
         for batch in common.slices(batches, 1):
-            words = [vocab.words(t) for t in texts_of(batch, 1)]
-            vocab.learn({w for ws in words for w in ws}, make)
             rows = []
-            for doc, ws in zip(batch.column(0).to_pylist(), words, strict=True):
-                raw = b"".join(map(vocab.known.__getitem__, ws)) + end
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
+                raw = np.array([*ids_of(text, path), end_id], "<u4").tobytes()
                 n = len(raw) // 4
                 cuts = [0, *range(n % room or room, n + 1, room)] if n > room else [0, n]
                 rows += [(doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -97,5 +113,5 @@ def packed(parts: DataFrame, room: int = 1024, per_group: int = 16_384) -> DataF
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    parts = pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    parts = pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packed(parts).withColumnRenamed("id", "doc_id")
