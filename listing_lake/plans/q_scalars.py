@@ -1 +1,128 @@
+"""Queries of the scalar functions (C)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates, numbers, strings
+from . import bindings as b
+from .bindings import half_even, table
+
 QUERIES, SQL = {}, {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _int(c: str):
+    return F.col(c).cast("int").cast("string")
+
+
+@query("""SELECT p_partkey, printf('%d.50', CAST(p_size * 1000 AS INTEGER)) AS euro, CAST(p_size AS VARCHAR) AS squares, CAST(p_size AS VARCHAR) || '.5' AS comma, CAST(NULL AS VARCHAR) AS none FROM part""")
+def c1_number_text(spark, sf_dir):
+    size = _int("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.number_text(F.concat(F.lit("€ "), size, F.lit(".000,50"))).alias("euro"), numbers.number_text(F.concat(size, F.lit(" m²"))).alias("squares"), numbers.number_text(F.concat(size, F.lit(",5 circa"))).alias("comma"), numbers.number_text(F.lit("N/A")).alias("none"))
+
+
+@query("SELECT p_partkey, lower(p_type) AS lowered, replace(lower(p_type), ' ', '-') AS place, CASE WHEN p_size % 5 = 0 THEN '' ELSE replace(lower(p_brand), ' ', '-') END AS brand FROM part")
+def c2_c3_lower_place(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", strings.lower("p_type").alias("lowered"), strings.place_name("p_type").alias("place"), strings.place_name(b.null_if(F.col("p_size") % 5 == 0, F.col("p_brand"))).alias("brand"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type END AS head, CASE WHEN length(p_name) <= 12 THEN p_name ELSE substr(p_name, 1, 9) || '...' END AS short FROM part")
+def c4_c5_separator_truncate(spark, sf_dir):
+    joined = b.null_if(F.col("p_size") % 5 == 0, F.concat(F.lit("  "), "p_type", F.lit(" | "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", strings.before_separator(joined).alias("head"), strings.truncated("p_name", 12).alias("short"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '_+', ' ', 'g'), '([.,;:])([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z])/([a-zA-Z])', '\1 / \2', 'g'), '([a-zA-Z])-([a-zA-Z])', '\1 - \2', 'g'), ' +', ' ', 'g'), E' \t\n\r\v\f')) AS spaced,
+ md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned FROM documents WHERE NOT regexp_matches(text, '[a-zA-Z][/-][a-zA-Z][/-]')
+UNION ALL SELECT doc_id, 'chained', 'chained' FROM documents WHERE regexp_matches(text, '[a-zA-Z][/-][a-zA-Z][/-]')""")
+def c6_c7_text(spark, sf_dir):
+    """Where separators follow each other by single letters the SQL's patterns miss some, so those are only counted."""
+    chained = F.col("text").rlike("[a-zA-Z][/-][a-zA-Z][/-]")
+    pick = lambda x: F.when(chained, "chained").otherwise(F.md5(x))
+    return table(spark, sf_dir, "documents").select("doc_id", pick(strings.spaced("text")).alias("spaced"), pick(strings.cleaned("text")).alias("cleaned"))
+
+
+@query("""SELECT p_partkey, p_size + 0.5::DOUBLE AS comma, CAST(NULL AS DOUBLE) AS bad, p_size + 1 AS plus, p_size + 2 AS ranged, p_size + 3 AS both, p_size AS cut, CASE p_size % 4 WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN p_size END AS rooms, CAST(p_size AS DOUBLE) + 0.25 AS first FROM part""")
+def c8_to_c12_counts(spark, sf_dir):
+    size = _int("p_size")
+    rooms = F.when(F.col("p_size") % 4 == 0, "3+").when(F.col("p_size") % 4 == 1, "5+").when(F.col("p_size") % 4 == 2, size).otherwise("4+")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", numbers.to_double(F.concat(size, F.lit(",5"))).alias("comma"), numbers.to_double("p_name").alias("bad"), numbers.room_range(F.concat(size, F.lit("+"))).alias("plus"), numbers.room_range(F.concat(F.lit("1 - "), (F.col("p_size") + 2).cast("string"))).alias("ranged"),
+        numbers.room_range(F.concat(F.lit("1-"), (F.col("p_size") + 2).cast("string"), F.lit("+"))).alias("both"), numbers.room_range(F.concat(size, F.lit(".7"))).alias("cut"), numbers.room_count(rooms).alias("rooms"), numbers.first_number(F.concat(F.lit("€ "), size, F.lit(".25 al mese 7"))).alias("first"),
+    )
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_size + 0.5::DOUBLE END AS surface, CAST(p_size * 1000 AS DOUBLE) AS amount,
+ CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE p_size END AS property_floor, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE p_size END AS level, p_size + 0.25::DOUBLE AS consumption FROM part""")
+def c13_to_c17_surfaces_floors(spark, sf_dir):
+    size = _int("p_size")
+    label = F.when(F.col("p_size") % 5 == 0, "piano terra").when(F.col("p_size") % 5 == 1, "Rialzato").when(F.col("p_size") % 5 == 2, "Seminterrato").otherwise(size)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", numbers.surface(b.null_if(F.col("p_size") % 3 == 0, F.concat(size, F.lit(",5 m²"))), F.concat(size, F.lit(" m²"))).alias("surface"), numbers.whole_amount(F.concat(F.lit("€ "), size, F.lit(".000,99"))).alias("amount"),
+        numbers.property_floor(F.when(F.col("p_size") % 5 == 1, "T"), label).alias("property_floor"), numbers.floor_level(F.when(F.col("p_size") % 5 > 2, F.concat(label, F.lit("° piano"))).otherwise(label)).alias("level"), numbers.consumption(F.concat(size, F.lit(",25 kWh/m²"))).alias("consumption"),
+    )
+
+
+@query("""SELECT o_orderkey, d AS iso, d AS dmy, CASE WHEN year(d) >= 2000 THEN d END AS short, CAST(NULL AS DATE) AS bad, CAST(datediff('day', DATE '1995-01-01', d) AS INTEGER) AS days, d AS work_start, CAST(d + INTERVAL 40 DAY AS DATE) AS work_end, 0.25::DOUBLE AS completion,
+ CAST(NULL AS DOUBLE) AS no_span, d AS epoch, CASE WHEN year(d) >= 2000 THEN strftime(d, '%Y-%m-%d') END AS full_year FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def c18_to_c23_dates(spark, sf_dir):
+    d = F.col("d")
+    start, end = dates.work_dates(F.concat(b.day_month_year(d), F.lit(" - "), b.day_month_year(F.date_add(d, 40))))
+    late = F.year(d) >= 2000
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderdate").alias("ts"))
+    return rows.select(
+        "o_orderkey", dates.to_date(d.cast("string")).alias("iso"), dates.to_date(b.day_month_year(d)).alias("dmy"), dates.to_date(F.when(late, b.day_month_year(d, "yy"))).alias("short"), dates.to_date(F.lit("invalid")).alias("bad"), dates.days_between(F.lit("1995-01-01"), d.cast("string")).alias("days"), start.alias("work_start"), end.alias("work_end"),
+        dates.completion(d, F.date_add(d, 40), F.date_add(d, 10)).alias("completion"), dates.completion(d, d, F.date_add(d, 10)).alias("no_span"), dates.epoch_date(F.unix_timestamp("ts")).alias("epoch"), dates.full_year(F.when(late, F.date_format(d, "yy-MM-dd"))).alias("full_year"),
+    )
+
+
+@query("""SELECT DISTINCT CAST(o_orderdate AS DATE) AS date_value, CAST(year(o_orderdate) AS SMALLINT) AS year, CAST(month(o_orderdate) AS SMALLINT) AS month_number, lower(monthname(o_orderdate)) AS month_name, CAST(day(o_orderdate) AS SMALLINT) AS day_of_month FROM orders""")
+def c24_date_parts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date_value")).distinct().select("date_value", *(c.alias(n) for n, c in dates.date_parts("date_value").items()))
+
+
+_RATE = "l_tax / 12"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN round({half_even(f'l_extendedprice * ({_RATE}) / (1 - pow(1 + {_RATE}, -360.0::DOUBLE))')}, 1) END AS loan, CASE WHEN l_tax > 0 THEN round(l_extendedprice * 0.8::DOUBLE * ({_RATE}) / (1 - pow(1 + {_RATE}, -360.0::DOUBLE)), 4) END AS monthly,
+ {half_even('l_extendedprice / l_quantity')} AS per_sqm, {half_even('l_extendedprice / 10', 0)} * 10 AS ten, {half_even('l_extendedprice / 10000', 0)} * 10000 AS myriad, greatest(1, least(6, CAST(l_quantity AS INTEGER) - 10)) AS clamped,
+ CASE WHEN l_extendedprice <> 0 THEN {half_even('l_quantity * 12 / l_extendedprice * 100')} END AS yield FROM lineitem""")
+def c25_to_c30_money(spark, sf_dir):
+    price, tax = F.col("l_extendedprice"), F.col("l_tax")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(numbers.mortgage_payment(price, tax), 1).alias("loan"), F.round(numbers.monthly_payment(price, tax), 4).alias("monthly"), numbers.price_per_sqm(price, "l_quantity").alias("per_sqm"), numbers.round_to(price, 10).alias("ten"), numbers.round_to(price, 10_000).alias("myriad"),
+        numbers.clamp(F.col("l_quantity").cast("int") - 10, 1, 6).alias("clamped"), numbers.rent_yield("l_quantity", price).alias("yield"),
+    )
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN CAST(l_quantity AS BIGINT) END AS whole, true AS within FROM lineitem""")
+def c29_random_round(spark, sf_dir):
+    """Halves go either way, so the SQL states what any coin must meet: whole numbers stay, others move by one half."""
+    q = F.col("l_quantity")
+    x = F.when(q % 2 == 0, q).otherwise(q + 0.5)
+    r = numbers.random_round(x, 7)
+    df = table(spark, sf_dir, "lineitem").withColumn("r", r)
+    return df.select("l_orderkey", "l_partkey", "l_linenumber", F.when(q % 2 == 0, F.col("r")).alias("whole"), (F.abs(F.col("r") - x) <= 0.5).alias("within"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '-' AS absent, map(['user', 'k', 'type'], [CAST(user_id AS VARCHAR), 'late', event_type]) AS merged FROM events""")
+def c31_c32_nested_maps(spark, sf_dir):
+    early = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.lit("early"))
+    late = F.create_map(F.lit("k"), F.lit("late"), F.lit("type"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", strings.nested("props", "k").alias("k"), strings.nested("props", "none", "at", default="-").alias("absent"), strings.merged_maps(early, late).alias("merged"))
+
+
+@query("SELECT p_partkey, sha256(p_name) AS long_key, left(md5(p_name), 16) AS short_key, p_size % 10 = 0 AS nothing FROM part")
+def c33_c34_digests_nulls(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", strings.long_key("p_name").alias("long_key"), strings.short_digest("p_name").alias("short_key"), strings.all_null(b.null_if(size % 5 == 0, F.col("p_name")), b.null_if(size % 2 == 0, F.col("p_type"))).alias("nothing"))
