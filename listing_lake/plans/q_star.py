@@ -1 +1,265 @@
+"""Queries of the star schema (E), the lexicon (F) and of stored tables (A5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import explore, extract, keys, lexicon, star
+from ..sources import scratch, tables
+from . import bindings as b
+from .bindings import half_even, sql, table
+
 QUERIES, SQL = {}, {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rows_of(spark, sf_dir):
+    """Normalised snapshots from pages. Features and normalised rows are written, so no later table parses pages again."""
+    features, path = scratch.folder(spark, "features"), scratch.folder(spark, "snapshots")
+    tables.write_parquet(extract.features(b.listing_pages(spark, sf_dir)).select("listing_id", "listing_type", "scraping_date", "listing_features"), features)
+    tables.write_parquet(star.normalised(spark.read.parquet(features)), path)
+    return spark.read.parquet(path)
+
+
+@query(sql("SELECT scraping_date, round(avg(mortgage_rate), 9) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1"))
+def e1_adjusted_rates(spark, sf_dir):
+    return star.adjusted_rates(b.listings(spark, sf_dir)).select("scraping_date", F.round("date_rate", 9).alias("date_rate"))
+
+
+_RATES_SQL = ", rates AS (SELECT scraping_date, avg(mortgage_rate) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1)"
+
+
+@query(sql(_RATES_SQL + """ SELECT listing_id, scraping_date, round(r, 9) AS resolved_rate, CASE WHEN listing_type <> 'rent' AND price > 0 AND r > 0 THEN round(price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE)), 4) END AS monthly_payment
+FROM (SELECT listing.*, CASE WHEN listing_type = 'rent' THEN mortgage_rate ELSE coalesce(mortgage_rate, date_rate) END AS r FROM listing LEFT JOIN rates USING (scraping_date))"""))
+def e2_monthly_payment(spark, sf_dir):
+    rows = b.listings(spark, sf_dir)
+    out = star.with_payment(rows, star.adjusted_rates(rows))
+    return out.select("listing_id", "scraping_date", F.round("resolved_rate", 9).alias("resolved_rate"), F.round("monthly_payment", 4).alias("monthly_payment"))
+
+
+@query("SELECT DISTINCT 'segment' AS dim, lower(c_mktsegment) AS member FROM customer UNION ALL SELECT DISTINCT 'type', lower(p_type) FROM part UNION ALL SELECT DISTINCT 'word', lower(w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''")
+def e3_single_value(spark, sf_dir):
+    p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w"))
+    found = ((c, "c_mktsegment", "segment"), (p, "p_type", "type"), (words, "w", "word"))
+    parts = [keys.single_value(df, F.col(x), "member", "id").select(F.lit(n).alias("dim"), "member") for df, x, n in found]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT DISTINCT lower(x) AS category_name FROM (SELECT p_brand AS x FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN p_type END FROM part) WHERE x <> ''")
+def e4_categories(spark, sf_dir):
+    return star.categories(table(spark, sf_dir, "part"), F.col("p_brand"), b.null_if(F.col("p_size") % 2 == 1, F.col("p_type"))).select("category_name")
+
+
+@query(sql("SELECT DISTINCT scraping_date AS date_value, CAST(year(scraping_date) AS SMALLINT) AS year, CAST(month(scraping_date) AS SMALLINT) AS month_number, lower(monthname(scraping_date)) AS month_name, CAST(day(scraping_date) AS SMALLINT) AS day_of_month FROM listing"))
+def e5_dates(spark, sf_dir):
+    return star.dates_of(b.listings(spark, sf_dir)).drop("date_id")
+
+
+@query(sql("SELECT listing_type, count(*) AS n FROM listing GROUP BY 1"))
+def e6_listing_types(spark, sf_dir):
+    types = star.listing_types(spark)
+    facts = b.listings(spark, sf_dir).select(keys.key("listing_type").alias("listing_type_id"))
+    return types.join(facts.groupBy("listing_type_id").agg(F.count("*").alias("n")), "listing_type_id").select("listing_type", "n")
+
+
+@query(sql("SELECT DISTINCT CASE WHEN energy_class = 'a' THEN 'a1' ELSE energy_class END AS energy_class FROM listing"))
+def e9_energy_class(spark, sf_dir):
+    return b.listings(spark, sf_dir).select(star.energy_class(F.upper("energy_class")).alias("energy_class")).distinct()
+
+
+def dimension(name, columns, oracle):
+    """A query of one dimension's natural keys."""
+
+    def f(spark, sf_dir):
+        return star.dimensions(rows_of(spark, sf_dir))[name].select(*columns)
+
+    f.__name__ = f"e8_{name}" if name != "dim_listing_info" else "e7_dim_listing_info"
+    return query(sql(oracle))(f)
+
+
+_SOME = "FROM listing WHERE size <> 13"
+dimension("dim_listing_info", ["listing_age", "listing_last_update", "number_of_pictures"], """SELECT listing_age, listing_last_update, number_of_pictures FROM (SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(listing_id % 400 AS INTEGER) END AS listing_age, CASE WHEN size <> 13 THEN CAST(listing_id % 30 AS INTEGER) END AS listing_last_update,
+ CASE WHEN size <> 13 AND size % 3 > 0 THEN size % 6 END AS number_of_pictures, CASE WHEN size <> 13 THEN CASE size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'privato' ELSE lower(seller_type) END END AS seller FROM listing)""")
+dimension("dim_rooms_info", star.DIMENSIONS["dim_rooms_info"][1], f"""SELECT DISTINCT CASE WHEN size % 4 = 0 THEN 4 ELSE size % 4 END AS bathrooms_number, CASE WHEN size % 5 = 0 THEN 6 ELSE size % 5 END AS bedrooms_number, CASE WHEN size % 6 = 0 THEN 6 ELSE size % 6 END AS total_room_number,
+ 'kitchen eat-in' AS kitchen_status, CASE WHEN size % 2 = 0 THEN '1 in box' END AS garage, size % 10 AS property_floor {_SOME}""")
+dimension("dim_energy_info", star.DIMENSIONS["dim_energy_info"][1], f"SELECT DISTINCT size % 2 = 0 AS is_zero_energy_building, 'autonomo' AS heating_type, CASE WHEN energy_class = 'a' THEN 'a1' ELSE energy_class END AS energy_class, 'assente' AS air_conditioning {_SOME}")
+dimension("dim_location_info", star.DIMENSIONS["dim_location_info"][1], f"""SELECT DISTINCT CAST(latitude AS DECIMAL(9, 6)) AS latitude, CAST(longitude AS DECIMAL(9, 6)) AS longitude, replace(lower(region), ' ', '-') AS region, replace(lower(province), ' ', '-') AS province,
+ lower(substr(province, 1, 2)) AS province_code, lower(province) AS city, CAST(NULL AS VARCHAR) AS macrozone, CAST(NULL AS VARCHAR) AS microzone {_SOME}""")
+dimension("dim_building_info", ["has_elevator", "building_year", "total_building_floors", "total_number_of_residential_units", "work_start_date", "work_end_date"], f"""SELECT DISTINCT size % 2 = 1 AS has_elevator, building_year, size % 8 + 1 AS total_building_floors, size AS total_number_of_residential_units,
+ CAST(scraping_date - INTERVAL 100 DAY AS DATE) AS work_start_date, CAST(scraping_date + INTERVAL 300 DAY AS DATE) AS work_end_date {_SOME}""")
+dimension("dim_auction_info", ["auction_end_date", "deposit_modality", "is_open", "minimum_offer", "lot_category_id", "lot_category_name"], f"""SELECT DISTINCT CAST(scraping_date + INTERVAL 60 DAY AS DATE) AS auction_end_date, 'assegno' AS deposit_modality, true AS is_open, CAST(trunc(price) AS DECIMAL(15, 2)) AS minimum_offer, size AS lot_category_id, 'residenziale' AS lot_category_name {_SOME} AND listing_type = 'auction'""")
+dimension("dim_additional_costs", ["condominium_monthly_expenses", "heating_yearly_expenses"], _RATES_SQL.replace("FROM listing WHERE", "FROM listing WHERE size <> 13 AND") + f""" SELECT condominium_monthly_expenses, heating_yearly_expenses FROM (SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(size + 1 AS DECIMAL(10, 2)) END AS condominium_monthly_expenses, CASE WHEN size <> 13 AND size % 2 = 0 THEN CAST(size * 10 AS DECIMAL(10, 2)) END AS heating_yearly_expenses,
+ {half_even('r', 4)} AS mortgage_rate, CASE WHEN size <> 13 AND listing_type <> 'rent' AND price > 0 AND r > 0 THEN {half_even('price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE))')} END AS monthly_payment
+ FROM (SELECT listing.*, CASE WHEN listing_type = 'rent' THEN CASE WHEN size <> 13 THEN mortgage_rate END ELSE coalesce(CASE WHEN size <> 13 THEN mortgage_rate END, date_rate) END AS r FROM listing LEFT JOIN rates USING (scraping_date)))""")
+dimension("dim_surface_composition", star.DIMENSIONS["dim_surface_composition"][1], """SELECT DISTINCT element_name, size % 4 + k AS element_floor, CAST(size + k + 0.5 AS FLOAT) AS element_surface, CAST(100 AS FLOAT) AS percentage, CAST(NULL AS FLOAT) AS element_commercial_surface FROM listing, (VALUES ('abitazione', 2), ('box', 1)) e(element_name, k) WHERE size <> 13""")
+dimension("dim_cadastral_info", star.DIMENSIONS["dim_cadastral_info"][1], f"SELECT DISTINCT CAST(size AS VARCHAR) AS cadastral, 'info' AS cadastral_additional_info, CAST(NULL AS VARCHAR) AS sub_cadastral_info {_SOME}")
+
+
+@query("SELECT DISTINCT CASE WHEN p_size % 5 <> 0 THEN p_brand END AS brand, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, 1 AS members FROM part")
+def e10_null_safe_keys(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(b.null_if(F.col("p_size") % 5 == 0, F.col("p_brand")).alias("brand"), b.null_if(F.col("p_size") % 3 == 0, F.col("p_size")).alias("size"))
+    found = keys.members(df, ["brand", "size"], "id")
+    per_key = found.groupBy("id").agg(F.count("*").cast("int").alias("members"))  # two members with one key would show as 2
+    return found.join(per_key, "id").select("brand", "size", "members")
+
+
+@query("""WITH m AS (SELECT p_type, min(CASE WHEN p_size % 2 = 0 THEN p_size END) AS old_size, min(CASE WHEN p_size % 2 = 1 THEN p_size END) AS new_size FROM part GROUP BY 1) SELECT p_type, coalesce(nullif(old_size, 2), new_size, old_size) AS size, CAST(1 AS BIGINT) AS times FROM m""")
+def e11_merge_members(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    of = lambda rest: p.where(F.col("p_size") % 2 == rest).groupBy("p_type").agg(F.min("p_size").alias("size")).select(keys.key("p_type").alias("id"), "p_type", "size")
+    old, new = of(0), of(1)
+    hidden = old.withColumn("size", b.null_if(F.col("size") == 2, F.col("size")))  # members whose attribute wasn't known
+    again = keys.merged(keys.merged(hidden, new, "id", ["size"]), new, "id", ["size"])  # merged twice: as once
+    again = again.join(old.select("p_type", F.col("size").alias("was")), "p_type", "left").withColumn("size", F.coalesce("size", "was"))
+    return again.groupBy("p_type", "size").agg(F.count("*").alias("times"))
+
+
+@query(sql("""SELECT listing_id, scraping_date AS date_value, listing_type, CASE WHEN size <> 13 THEN CAST(price AS DECIMAL(15, 2)) END AS price, CASE WHEN size <> 13 THEN replace(lower(province), ' ', '-') END AS province, CASE WHEN size <> 13 THEN CASE WHEN energy_class = 'a' THEN 'a1' ELSE energy_class END END AS energy_class,
+ CASE WHEN size <> 13 THEN lower(condition) END AS condition, CASE WHEN size <> 13 THEN size % 10 END AS property_floor FROM listing"""))
+def e12_facts(spark, sf_dir):
+    """Facts joined back with their dimensions by the computed keys."""
+    rows = rows_of(spark, sf_dir)
+    facts, dims = star.facts(rows), star.dimensions(rows)
+    out = facts.join(dims["dim_date"].select("date_id", "date_value"), "date_id").join(dims["dim_listing_type"], "listing_type_id")
+    for t, column in (("dim_location_info", "province"), ("dim_energy_info", "energy_class"), ("dim_condition", "condition"), ("dim_rooms_info", "property_floor")):
+        key = star.DIMENSIONS[t][0]
+        out = out.join(dims[t].select(key, column), key, "left")
+    return out.select("listing_id", "date_value", "listing_type", "price", "province", "energy_class", "condition", "property_floor")
+
+
+@query(sql("SELECT listing_type, count(*) AS n FROM listing WHERE year(scraping_date) >= 1998 GROUP BY 1"))
+def e13_new_facts(spark, sf_dir):
+    from ..operators.quality import new_rows
+
+    rows = rows_of(spark, sf_dir)
+    facts = star.facts(rows)
+    stored = star.facts(rows.where(F.year("date_value") < 1998))
+    return new_rows(facts, stored, ("listing_id", "date_id")).join(star.listing_types(spark), "listing_type_id").groupBy("listing_type").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT feature_name, count(*) AS n FROM (SELECT DISTINCT listing_id, scraping_date, lower(unnest(string_split(feature_text, ' '))) AS feature_name FROM listing WHERE size <> 13) WHERE feature_name <> '' GROUP BY 1"))
+def e14_feature_bridge(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    bridge = star.feature_bridge(rows)
+    return bridge.join(star.dimensions(rows)["dim_features"], "feature_id").groupBy("feature_name").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT element_name, size % 4 + k AS element_floor, count(*) AS n FROM listing, (VALUES ('abitazione', 2), ('box', 1)) e(element_name, k) WHERE size <> 13 GROUP BY 1, 2"))
+def e15_surface_bridge(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    return star.surface_bridge(rows).join(star.dimensions(rows)["dim_surface_composition"], "surface_composition_id").groupBy("element_name", "element_floor").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT 'fact_listing' AS table_name, count(*) AS n FROM listing UNION ALL SELECT 'dim_condition', count(DISTINCT condition) FROM listing WHERE size <> 13 UNION ALL SELECT 'dim_date', count(DISTINCT scraping_date) FROM listing
+ UNION ALL SELECT 'listing_features_bridge', count(*) FROM (SELECT DISTINCT listing_id, scraping_date, w FROM (SELECT listing_id, scraping_date, lower(unnest(string_split(feature_text, ' '))) AS w FROM listing WHERE size <> 13) WHERE w <> '')
+ UNION ALL SELECT 'surface_composition_bridge', 2 * count(*) FROM listing WHERE size <> 13"""))
+def e16_load_statistics(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    dims = star.dimensions(rows)
+    return star.load_statistics({"fact_listing": star.facts(rows), "listing_features_bridge": star.feature_bridge(rows), "surface_composition_bridge": star.surface_bridge(rows), "dim_condition": dims["dim_condition"], "dim_date": dims["dim_date"]})
+
+
+_CHECKED = [t for t in sorted(star.DIMENSIONS) if t not in ("dim_seller_type", "dim_surface_composition", "dim_features")]
+
+
+@query("SELECT table_name, CASE WHEN n >= 0 THEN CAST(0 AS BIGINT) END AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in _CHECKED) + ") t(table_name), (SELECT count(*) AS n FROM lineitem)")
+def e17_integrity(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    return star.integrity(star.facts(rows), {t: d for t, d in star.dimensions(rows).items() if t in _CHECKED})
+
+
+@query("SELECT table_name, key_kind, CASE WHEN n >= 0 THEN CAST(0 AS BIGINT) END AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in sorted(star.DIMENSIONS)) + ") t(table_name), (VALUES ('natural'), ('surrogate')) k(key_kind), (SELECT count(*) AS n FROM lineitem)")
+def e18_uniqueness(spark, sf_dir):
+    return star.uniqueness(star.dimensions(rows_of(spark, sf_dir)))
+
+
+@query(sql("SELECT 'dim_condition' AS table_name, 'dimension' AS kind, count(DISTINCT condition) AS n FROM listing WHERE size <> 13 UNION ALL SELECT 'fact_listing', 'fact', count(*) FROM listing"))
+def a5_k1_star_database(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    name = "star_" + scratch.folder(spark, "x")[-12:]
+    tables.save_star({"fact_listing": star.facts(rows), "dim_condition": star.dimensions(rows)["dim_condition"]}, name)
+    return explore.tables(tables.load_star(spark, name))
+
+
+LEXICON = ((r"\bantique\b", "old"), (r"\balmond antique\b", "never reached"), (r"\bred\b|\brose\b", "antique"), (r"\bpromo.*\b", "offer"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^(economy.*)$') THEN 'cheap' WHEN regexp_matches(p_type, '(?i)^(.*tin)$') THEN 'tinned' END AS whole FROM part")
+def f1_whole_value(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", lexicon.whole_value("p_type", (("economy.*", "cheap"), (".*tin", "tinned"))).alias("whole"))
+
+
+_TEXT_RULES = (("tion", "Ting"), ("ing", "ed"), ("the", "th"), ("ou", "tion"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'tion', '¤1', 'gi'), 'ing', '¤2', 'gi'), 'the', '¤3', 'gi'), 'ou', '¤4', 'gi'), '¤1', 'Ting'), '¤2', 'ed'), '¤3', 'th'), '¤4', 'tion')) AS digest FROM documents")
+def f2_in_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lexicon.in_text("text", _TEXT_RULES)).alias("digest"))
+
+
+def _memory(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.lower("c_mktsegment").alias("source_text"), F.when(F.col("c_nationkey") % 2 == 0, "it").otherwise("es").alias("source_lang"), F.lit("en").alias("target_lang"), F.col("c_name").alias("translated_text"), F.col("c_custkey").alias("ts"))
+
+
+_MEMORY = "memory AS (SELECT lower(c_mktsegment) AS source_text, CASE WHEN c_nationkey % 2 = 0 THEN 'it' ELSE 'es' END AS source_lang, 'en' AS target_lang, c_name AS translated_text, c_custkey AS ts FROM customer)"
+
+
+@query(f"WITH {_MEMORY} SELECT source_text, source_lang, target_lang, CASE WHEN max(ts) % 7 = 0 THEN 'new' ELSE arg_max(translated_text, ts) END AS translated_text FROM memory GROUP BY 1, 2, 3")
+def f3_translation_memory(spark, sf_dir):
+    """Saved again with newer rows for some: the last written wins; nothing is missing afterwards."""
+    memory = _memory(spark, sf_dir)
+    newest = memory.groupBy(*lexicon.MEMORY_KEY).agg(F.max("ts").alias("ts")).where("ts % 7 = 0").select(*lexicon.MEMORY_KEY, F.lit("new").alias("translated_text"), (F.col("ts") + 1).alias("ts"))
+    saved = lexicon.saved(memory, newest.select(*memory.columns))
+    texts = memory.select(*lexicon.MEMORY_KEY).distinct()
+    return lexicon.looked_up(texts, saved).join(lexicon.missing(texts, saved), list(lexicon.MEMORY_KEY), "left_anti").select(*lexicon.MEMORY_KEY, "translated_text")
+
+
+@query(f"WITH {_MEMORY} SELECT source_lang, target_lang, count(*) AS n FROM memory GROUP BY 1, 2")
+def f4_memory_statistics(spark, sf_dir):
+    return lexicon.memory_statistics(_memory(spark, sf_dir))
+
+
+_TYPES = (("economy .*", "cheap"), ("standard", "usual"), (" plated", ""))
+_TYPE_SQL = "CASE WHEN regexp_matches(p_type, '(?i)^(economy .*)$') THEN 'cheap' ELSE regexp_replace(regexp_replace(p_type, 'standard', 'usual', 'gi'), ' plated', '', 'gi') END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN {_TYPE_SQL} END AS translated FROM part")
+def f5_translated_values(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", b.null_if(F.col("p_size") % 5 == 0, F.col("p_type")).alias("t"))
+    return lexicon.translated_values(df, "t", rules=_TYPES).select("p_partkey", "translated")
+
+
+@query(f"SELECT value, count(*) AS ids, min(t) AS first FROM (SELECT DISTINCT p_type AS t, {_TYPE_SQL} AS value FROM part) GROUP BY 1 HAVING count(*) > 1")
+def f6_conflicts(spark, sf_dir):
+    members = table(spark, sf_dir, "part").select(F.col("p_type").alias("id")).distinct().withColumn("value", lexicon.translated("id", _TYPES))
+    return lexicon.conflicts(members, "id", "value").select("value", (F.size("secondary") + 1).cast("long").alias("ids"), F.col("primary").alias("first"))
+
+
+@query(f"SELECT type, brand, count(*) AS parts FROM (SELECT {_TYPE_SQL} AS type, p_brand AS brand FROM part) GROUP BY 1, 2")
+def f7_f8_merge_translated(spark, sf_dir):
+    """Members with equal natural keys after translation merge, those that differ in the brand stay apart."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    members, facts = keys.members(parts, ["type", "brand"], "id"), parts.select("p_partkey", keys.key("type", "brand").alias("id"))
+    kept, mapping = lexicon.translated_members(members, "id", ["type", "brand"], ["type"], _TYPES)
+    return lexicon.remapped(facts, "id", mapping).join(kept, "id").groupBy("type", "brand").agg(F.count("*").alias("parts"))
+
+
+def _share(lang: str) -> str:
+    words = ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS[lang])
+    return f"coalesce(len(list_filter(t, lambda w: w IN ({words}))) / nullif(len(t), 0)::DOUBLE, 0)"
+
+
+@query(f"SELECT doc_id, {_share('en')} >= 0.1 AND {_share('en')} >= greatest({', '.join(_share(x) for x in ('de', 'fr', 'es'))}) AS is_english FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS t FROM documents)")
+def f9_language_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", lexicon.is_language("text", "en").alias("is_english"))
