@@ -64,7 +64,7 @@ class Index:
         """TF-IDF weights of unit length by term."""
         found: Counter = Counter()
         known = self.of_word
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for word, n in counts.items():
             hit = known.get(word)
