@@ -147,9 +147,9 @@ class Vocabulary:
         return token.encode() if token in self.special else bytes(self.byte_of[c] for c in token)
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary for each worker process."""
+@functools.lru_cache(maxsize=4)
+def vocabulary(path: str, use: str = "") -> Vocabulary:
+    """One vocabulary for each worker process and use; what a use keeps of words is its own."""
     return Vocabulary(path)
 
 
@@ -162,7 +162,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     common.share_code(docs.sparkSession)
 
     def work(batches):
-        vocab = vocabulary(path)
+        vocab = vocabulary(path, "ids")
         for batch in common.slices(batches, 1):
             words = [vocab.words(t) for t in texts_of(batch, 1)]
             vocab.learn({w for ws in words for w in ws}, tuple)
@@ -181,7 +181,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     common.share_code(docs.sparkSession)
 
     def work(batches):
-        vocab = vocabulary(path)
+        vocab = vocabulary(path, "digests")
         if not vocab.words_only:
             raise ValueError("digests() joins decoded words by spaces; a byte-level vocabulary decodes otherwise")
         make = lambda ids: (len(ids), " ".join(map(str, ids)), vocab.decode(ids))
