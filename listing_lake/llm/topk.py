@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROWS, QUERIES, CHUNK = 2048, 1024, 512
+ROWS, QUERIES, CHUNK = 4096, 1024, 512
 
 
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -33,36 +33,61 @@ def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where((F.size(vector_col) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def maxscore(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the query's k best rows of one shard, exact; ties to smaller ids. rows: int64, by ascending id."""
-    best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def maxscore(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best rows of one shard for each query of a block, exact; ties to smaller ids.
+
+    rows by ascending id. All queries run together, each with its own terms, bounds and threshold.
+    """
+    n, dims = queries.shape
+    most = int(max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)))
+    if dims * most * most < 1 << 52:  # sums of whole numbers are exact in floating point as well
+        rows, queries = rows.astype(np.float64), queries.astype(np.float64)
+    best_q, best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, rows.dtype)
+    threshold, known = np.zeros(n, rows.dtype), np.zeros(n, bool)
+    every = np.arange(n)
     for at in range(0, len(rows), CHUNK):
-        part = rows[at : at + CHUNK]
-        a, b = part.min(axis=0) * query, part.max(axis=0) * query
+        part, part_ids = rows[at : at + CHUNK], ids[at : at + CHUNK]
+        a, b = part.min(axis=0) * queries, part.max(axis=0) * queries
         low, span = np.minimum(a, b), np.abs(b - a)
-        order = np.argsort(-span, kind="stable")
-        left = span[order][::-1].cumsum()[::-1]  # spans from a place on
-        base = int(low.sum())
-        threshold = int(best[-1]) if len(best) == k else None
-        essential = len(order) if threshold is None else int(np.searchsorted(-left, -(threshold - base), "right"))
-        terms = order[:essential]
-        scores = base + part[:, terms] @ query[terms] - int(low[terms].sum())
-        alive = np.arange(len(part)) if threshold is None else np.nonzero(scores + (left[essential] if essential < len(order) else 0) >= threshold)[0]
-        scores = scores[alive]
-        for j in range(essential, len(order), 8):
-            if not len(alive):
-                break
-            more = order[j : j + 8]
-            scores = scores + part[np.ix_(alive, more)] @ query[more] - int(low[more].sum())
-            rest = left[j + 8] if j + 8 < len(order) else 0
-            keep = scores + rest >= threshold
-            alive, scores = alive[keep], scores[keep]
-        alive_ids = ids[at + alive]
-        other = alive_ids != own
-        best_id, best = np.append(best_id, alive_ids[other]), np.append(best, scores[other])
-        keep = np.lexsort((best_id, -best))[:k]
-        best_id, best = best_id[keep], best[keep]
-    return best_id, best
+        order = np.argsort(-span, axis=1, kind="stable")
+        left = np.take_along_axis(span, order, axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1]  # spans from a place on
+        left = np.append(left, np.zeros((n, 1), left.dtype), axis=1)
+        base = low.sum(axis=1)
+        essential = np.where(known, (left[:, :dims] >= (threshold - base)[:, None]).sum(axis=1), dims)
+        place = np.argsort(order, axis=1)
+        chosen = place < essential[:, None]
+        scores = np.where(chosen, queries, 0) @ part.T + np.where(chosen, 0, low).sum(axis=1)[:, None]
+        mine = np.isin(own, part_ids)
+        twin = np.zeros(scores.shape, bool)
+        if mine.any():  # a query's own id isn't a candidate, however often it occurs
+            twin[mine] = part_ids[None, :] == own[mine][:, None]
+        alive = np.where(known[:, None], scores + left[every, essential][:, None] >= threshold[:, None], True) & ~twin
+        fresh = ~known
+        if fresh.any() and len(part) > k:  # without a threshold the scores are whole: only the k best can count
+            whole = np.where(twin[fresh], scores.min() - 1, scores[fresh])
+            alive[fresh] &= scores[fresh] >= np.partition(whole, len(part) - k, axis=1)[:, len(part) - k][:, None]
+        q, r = np.nonzero(alive)
+        s = scores[q, r]
+        step = 0
+        while len(q) and (essential[q] + step < dims).any():
+            idx = essential[q][:, None] + step + np.arange(8)
+            inside = idx < dims
+            terms = order[q[:, None], np.minimum(idx, dims - 1)]
+            s = s + np.where(inside, part[r[:, None], terms] * queries[q[:, None], terms] - low[q[:, None], terms], 0).sum(axis=1)
+            step += 8
+            keep = s + left[q, np.minimum(essential[q] + step, dims)] >= threshold[q]
+            keep |= ~known[q]
+            q, r, s = q[keep], r[keep], s[keep]
+        best_q, best_id, best = np.append(best_q, q), np.append(best_id, part_ids[r]), np.append(best, s)
+        keep = np.lexsort((best_id, -best, best_q))
+        best_q, best_id, best = best_q[keep], best_id[keep], best[keep]
+        starts = np.searchsorted(best_q, every)
+        keep = np.arange(len(best_q)) - starts[best_q] < k
+        best_q, best_id, best = best_q[keep], best_id[keep], best[keep]
+        starts, stops = np.searchsorted(best_q, every), np.searchsorted(best_q, every, "right")
+        known = stops - starts == k
+        threshold[known] = best[stops[known] - 1]
+    return best_q, best_id, best.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_shard: int = ROWS, queries_per_block: int = QUERIES) -> DataFrame:
@@ -78,14 +103,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_per_shard: in
     right = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).select(cell(F.col("s"), F.col("b")), "id", "v")
 
     def work(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            rows = rows.sort_values("id", kind="stable")
-            matrix, ids = np.stack(rows["v"].to_list()).astype(np.int64), rows["id"].to_numpy()
-            for q, v in zip(asked["id"], asked["v"], strict=True):
-                near, scores = maxscore(matrix, ids, np.asarray(v, np.int64), q, k)
-                out.append(pd.DataFrame({"query_id": q, "id": near, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+        rows = rows.sort_values("id", kind="stable")
+        matrix, ids, own = np.stack(rows["v"].to_list()).astype(np.int64), rows["id"].to_numpy(), asked["id"].to_numpy()
+        q, near, scores = maxscore(matrix, ids, np.stack(asked["v"].to_list()).astype(np.int64), own, k)
+        return pd.DataFrame({"query_id": own[q], "id": near, "score": scores})
 
     found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(work, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
