@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 ENERGY = ("a", "a4", "b", "c", "d", "e", "f", "g")
 
 
@@ -85,7 +87,16 @@ def day_month_year(d: Column, year: str = "yyyy") -> Column:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing view as raw snapshots: one page for each row, with everything that features are read from."""
+    """The listing view as raw snapshots, written: one page for each row, with everything that features are read from.
+
+    Written, as Catalyst would otherwise build a page's JSON again for each expression that reads it.
+    """
+    path = scratch.folder(spark, "pages")
+    _listing_pages(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
     c, id_, d, size = F.col, F.col("listing_id"), F.col("scraping_date"), F.col("size")
     text = lambda x: x.cast("string")
