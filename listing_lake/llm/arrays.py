@@ -60,8 +60,8 @@ def look_up(folder: str, name: str, shards: np.ndarray, keys: np.ndarray, **fiel
     out["hit"] = np.zeros(len(keys), bool)
     order = np.lexsort((keys, shards))
     s = shards[order]
-    starts = np.nonzero(np.append(True, s[1:] != s[:-1]))[0] if len(s) else []
-    for a, b in zip(starts, [*starts[1:], len(s)], strict=True):
+    starts = heads(s)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(s)][: len(starts)], strict=True):
         there = read(folder, name, int(s[a]), "keys")
         if there is None or not len(there):
             continue
@@ -76,13 +76,22 @@ def look_up(folder: str, name: str, shards: np.ndarray, keys: np.ndarray, **fiel
     return out
 
 
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns begin to differ from the row before; the first row, if there is one, does."""
+    n = len(columns[0])
+    fresh = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        fresh |= c[1:] != c[:-1]
+    return np.nonzero(np.append(True, fresh))[0] if n else np.zeros(0, np.int64)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     if not len(keys):
         return keys.astype(np.uint64), counts.astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+    starts = heads(keys)
     return keys[starts], np.add.reduceat(counts.astype(np.int64), starts)
 
 

@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 5, 1
 def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  one table for each worker
     have = cache.get(int(base))
     if have is None or len(have) < n:
-        have = np.ones(max(n, BATCH + 1), np.uint64)
+        have = np.ones(max(n, 1 << 20), np.uint64)
         have[1:] = base
         cache[int(base)] = have = np.multiply.accumulate(have)
     return have[:n]
@@ -84,7 +84,7 @@ def merged_pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     """Distinct pairs by context, with summed counts."""
     order = np.lexsort((w, u))
     u, w, n = u[order], w[order], n[order]
-    starts = np.nonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))[0]
+    starts = arrays.heads(u, w)
     return u[starts], w[starts], np.add.reduceat(n.astype(np.int64), starts)
 
 
@@ -92,13 +92,13 @@ def _send_pairs(n_shards: int, shard: np.ndarray, u: np.ndarray, w: np.ndarray,
     """Rows (shard, distinct contexts, pairs of each, words, counts): a context is sent once for all its pairs."""
     order = np.lexsort((w, u, shard))
     shard, u, w, n = shard[order], u[order], w[order], n[order]
-    starts = np.nonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])))[0]
+    starts = arrays.heads(u, w, shard)
     shard, u, w, n = shard[starts], u[starts], w[starts], np.minimum(np.add.reduceat(n, starts), 2**32 - 1).astype("<u4")
     cuts = np.searchsorted(shard, np.arange(n_shards + 1)).tolist()
     out = []
     for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if b > a:
-            heads = np.nonzero(np.append(True, u[a + 1 : b] != u[a : b - 1]))[0]
+            heads = arrays.heads(u[a:b])
             run = np.diff(np.append(heads, b - a)).astype("<u4")
             out.append((s, u[a:b][heads].tobytes(), run.tobytes(), w[a:b].tobytes(), n[a:b].tobytes()))
     return out
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
         top = top[n[top] > 10_000]
         return pd.DataFrame({"n": [int(n.sum())], "v": [len(keys)], "hot": [keys[top].tobytes()], "hot_n": [n[top].astype("<i8").tobytes()]})
 
-    found = texts.mapInArrow(count_words, "shard int, keys binary, n binary").groupBy("shard").applyInPandas(store_words, "n long, v long, hot binary, hot_n binary")
+    found = texts.mapInArrow(count_words, "shard int, keys binary, n binary").repartition(shards, "shard").groupBy("shard").applyInPandas(store_words, "n long, v long, hot binary, hot_n binary")
     n = v = 0
     names, weights = [np.zeros(0, "<u8")], [np.zeros(0, "<i8")]
     for r in common.cut(found).toLocalIterator():  # two numbers and the commonest words of each shard
@@ -235,17 +235,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
         order = np.argsort(names)
         arrays.write(folder, "pair", shard, names[order], n=np.minimum(n, 2**32 - 1)[order].astype("<u4"))
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
-        heads = np.nonzero(np.append(True, u[1:] != u[:-1]))[0]
+        heads = arrays.heads(u)
         facts = [np.add.reduceat(x, heads) for x in (n, *((_classes(n) == c).astype(np.int64) for c in (1, 2, 3)))]
         spread = np.isin(u[heads], hot)
         arrays.write(folder, "context", shard, u[heads][~spread], **{f: arrays.small(x[~spread]) for f, x in zip(("total", "once", "twice", "more"), facts, strict=True)})
         hot_rows = (u[heads][spread], *(x[spread].astype("<i8") for x in facts))
         words, times = arrays.summed(w, np.ones(len(w), np.int64))
+        common.give_back()
         out = [{"kind": 0, "shard": shard, "of_counts": of_counts, "blobs": [x.tobytes() for x in hot_rows]}]
         out += [{"kind": 1, "shard": s, "of_counts": [], "blobs": [a, b]} for s, a, b in _send(arrays.shard_of(words, shards), shards, words, times.astype("<u4"))]
         return pd.DataFrame(out)
 
-    merged = texts.mapInArrow(count_pairs, "shard int, u binary, run binary, w binary, n binary").groupBy("shard").applyInPandas(merge_pairs, "kind int, shard int, of_counts array<long>, blobs array<binary>")
+    merged = texts.mapInArrow(count_pairs, "shard int, u binary, run binary, w binary, n binary").repartition(shards, "shard").groupBy("shard").applyInPandas(merge_pairs, "kind int, shard int, of_counts array<long>, blobs array<binary>")
     merged = common.cut(merged)
 
     def store_low(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +255,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
         c = np.bincount(np.minimum(n, 5), minlength=6)
         return pd.DataFrame({"types": [int(n.sum())], "of_counts": [c[1:5].tolist()], "over": [[int((_classes(n) == k).sum()) for k in (1, 2, 3)]]})
 
-    low = merged.where("kind = 1").select("shard", "blobs").groupBy("shard").applyInPandas(store_low, "types long, of_counts array<long>, over array<long>")
+    low = merged.where("kind = 1").select("shard", "blobs").repartition(shards, "shard").groupBy("shard").applyInPandas(store_low, "types long, of_counts array<long>, over array<long>")
     add = lambda c, k: F.coalesce(F.sum(F.element_at(c, k)), F.lit(0))
     row = low.agg(F.coalesce(F.sum("types"), F.lit(0)), *(add("of_counts", k) for k in (1, 2, 3, 4)), *(add("over", k) for k in (1, 2, 3))).first()
     types, d1, over = row[0], discounts(list(row[1:5])), list(row[5:8])
