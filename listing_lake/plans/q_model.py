@@ -237,7 +237,7 @@ def j19_dashboard(spark, sf_dir):
 
 
 def _summary(x: str) -> str:
-    return f"round({half_even(f'avg({x})', 4)}, 1) AS mean, round(quantile_cont({x}, 0.5), 1) AS median, round(stddev_samp({x}), 1) AS std, min({x}) AS min, max({x}) AS max, count({x}) AS count"
+    return f"round({half_even(f'avg({x})')}, 1) AS mean, round(quantile_cont({x}, 0.5), 1) AS median, round({half_even(f'stddev_samp({x})')}, 1) AS std, min({x}) AS min, max({x}) AS max, count({x}) AS count"
 
 
 def _rounded(df, names=("mean", "median", "std")):

@@ -191,12 +191,9 @@ def a5_k1_star_database(spark, sf_dir):
     return explore.tables(tables.load_star(spark, name))
 
 
-LEXICON = ((r"\bantique\b", "old"), (r"\balmond antique\b", "never reached"), (r"\bred\b|\brose\b", "antique"), (r"\bpromo.*\b", "offer"))
-
-
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^(economy.*)$') THEN 'cheap' WHEN regexp_matches(p_type, '(?i)^(.*tin)$') THEN 'tinned' END AS whole FROM part")
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^(economy.*)$') THEN 'cheap' WHEN regexp_matches(p_type, '(?i)^(.*um)$') THEN 'middle' END AS whole FROM part")
 def f1_whole_value(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", lexicon.whole_value("p_type", (("economy.*", "cheap"), (".*tin", "tinned"))).alias("whole"))
+    return table(spark, sf_dir, "part").select("p_partkey", lexicon.whole_value("p_type", (("economy.*", "cheap"), (".*um", "middle"))).alias("whole"))
 
 
 _TEXT_RULES = (("tion", "Ting"), ("ing", "ed"), ("the", "th"), ("ou", "tion"))
@@ -230,8 +227,8 @@ def f4_memory_statistics(spark, sf_dir):
     return lexicon.memory_statistics(_memory(spark, sf_dir))
 
 
-_TYPES = (("economy .*", "cheap"), ("standard", "usual"), (" plated", ""))
-_TYPE_SQL = "CASE WHEN regexp_matches(p_type, '(?i)^(economy .*)$') THEN 'cheap' ELSE regexp_replace(regexp_replace(p_type, 'standard', 'usual', 'gi'), ' plated', '', 'gi') END"
+_TYPES = (("econ.*|promo", "cheap"), ("standard", "usual"), ("medi", "mid"))
+_TYPE_SQL = "CASE WHEN regexp_matches(p_type, '(?i)^(econ.*|promo)$') THEN 'cheap' ELSE regexp_replace(regexp_replace(p_type, 'standard', 'usual', 'gi'), 'medi', 'mid', 'gi') END"
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN {_TYPE_SQL} END AS translated FROM part")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listing_lake.operators import export, keys, prep, quality, synth
-from listing_lake.plans import registry
+from listing_lake.plans import bindings, q_export, q_star, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,6 +23,24 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def once():
+    """Pages and normalised rows are made once for all tests, by the same functions."""
+    patch, kept = pytest.MonkeyPatch(), {}
+    for name, places in (("listing_pages", (bindings,)), ("rows_of", (q_star, q_export))):
+        made = getattr(places[0], name)
+
+        def cached(spark, sf_dir, name=name, made=made):
+            if name not in kept:
+                kept[name] = made(spark, sf_dir)
+            return kept[name]
+
+        for place in places:
+            patch.setattr(place, name, cached)
+    yield
+    patch.undo()
+
+
 def norm(x):
     if isinstance(x, bool) or x is None:
         return str(x)
