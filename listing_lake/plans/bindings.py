@@ -91,13 +91,11 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Written, as Catalyst would otherwise build a page's JSON again for each expression that reads it.
     """
-    path = scratch.folder(spark, "pages")
-    _listing_pages(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return scratch.once(spark, "pages", sf_dir, lambda: _listing_pages(spark, sf_dir))
 
 
 def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir)
+    rows = listings(spark, sf_dir).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "listing_id")  # pages are large, rows aren't
     c, id_, d, size = F.col, F.col("listing_id"), F.col("scraping_date"), F.col("size")
     text = lambda x: x.cast("string")
     whole = lambda x: text(x.cast("int"))

@@ -24,10 +24,9 @@ def query(oracle: str | None = None):
 
 def rows_of(spark, sf_dir):
     """Normalised snapshots from pages. Features and normalised rows are written, so no later table parses pages again."""
-    features, path = scratch.folder(spark, "features"), scratch.folder(spark, "snapshots")
-    tables.write_parquet(extract.features(b.listing_pages(spark, sf_dir)).select("listing_id", "listing_type", "scraping_date", "listing_features"), features)
-    tables.write_parquet(star.normalised(spark.read.parquet(features)), path)
-    return spark.read.parquet(path)
+    columns = ("listing_id", "listing_type", "scraping_date", "listing_features")
+    features = scratch.once(spark, "features", sf_dir, lambda: extract.features(b.listing_pages(spark, sf_dir)).select(*columns))
+    return scratch.once(spark, "snapshots", sf_dir, lambda: star.normalised(features))
 
 
 @query(sql("SELECT scraping_date, round(avg(mortgage_rate), 9) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1"))

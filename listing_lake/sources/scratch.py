@@ -5,11 +5,32 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: dict[tuple[str, str, str], str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="scratch-")
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the tables at `source`, written the first time that an application asks for it.
+
+    Later queries of the same application read what is there; where it is gone it is made again.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _MADE or not exists(spark, _MADE[key]):
+        path = folder(spark, name)
+        make().write.parquet(path)
+        _MADE[key] = path
+    return spark.read.parquet(_MADE[key])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
