@@ -25,17 +25,24 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACE = np.arange(8) * 256
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text as an unsigned number; bit i is set if more than half the shingle hashes set it."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """Hashes of the word shingles of a text in order; a text of fewer words is one shingle."""
     found = text.lower().split()  # bytes: only A-Z and the six ASCII white spaces
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(found))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[i:j], seed) for i, j in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([h(joined[i:j], seed) for i, j in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text as an unsigned number; bit i is set if more than half the shingle hashes set it."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits((counts.ravel() * 2 > len(hashes)), bitorder="little").view("<u8")[0])
 
@@ -94,9 +101,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their columns as they are, of which each group keeps the one with the smallest id.
 
+    Groups are by five words and a similarity of 0.8 (`shingledup`); three bits would lose most of such pairs.
     Of rows with the same id the one with the smallest text stays; rows with a null id all stay.
     """
-    found = near_duplicates(docs, id_col, text_col).where("id is not null").groupBy("id").agg(F.min("component").alias("component"))
+    from . import shingledup
+
+    found = shingledup.near_duplicates(docs, id_col, text_col).where("id is not null").groupBy("id").agg(F.min("component").alias("component"))
     name = common.free_name(docs, "keep_id")
     kept = found.where("id = component").select(F.col("id").alias(name))
     place = common.free_name(docs, "place")

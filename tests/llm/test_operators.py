@@ -359,3 +359,40 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SF)
     ids = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     assert ids == {r.doc_id for r in frame.select("doc_id").collect()}
+
+
+def brute_groups(rows):
+    """Smallest id of each row's group of pairs with a five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    comp = small_components(len(rows), [(i, j) for j in range(len(order)) for i in range(j) if near(sets[order[i]], sets[order[j]])])
+    return {rows[order[k]][0]: rows[order[c]][0] for k, c in enumerate(comp)}
+
+
+def test_near_duplicate_stage_is_five_words_and_similarity(spark, table):
+    import corpus_pipeline
+    from listing_lake.llm import shingledup
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    line = "a line that very many of the texts have in common"
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    for g in range(30):
+        base = list(rng.choice(words, 60 + 9 * g))
+        for m in range(5):  # copies with 0 to 4 other words: similarities on both sides of 0.8
+            text = list(base)
+            for at in rng.choice(len(base), m, replace=False):
+                text[at] = f"x{g}-{m}-{at}"
+            rows.append((10_000 + 10 * g + m, " ".join(text)))
+    rows += [(20_000 + i, line + " " + " ".join(rng.choice(words, 30))) for i in range(40)]
+    base = list(rng.choice(words, 100))
+    rows += [(30_000 + i, " ".join([*base[:i], f"y{i}", *base[i + 1 :]])) for i in range(60)]
+    rows += [(40_000, None), (40_001, ""), (40_002, "one two"), (40_003, "One  two"), (40_004, "one two three")]
+    want = brute_groups(rows)
+    assert {r.id: r.component for r in shingledup.near_duplicates(docs(spark, rows)).collect()} == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF)
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
