@@ -3,8 +3,10 @@
 A page becomes a list of text runs, each with its root-to-leaf tag path. For every path the text length and the
 punctuation marks of its runs are added up; text outside links is counted for both. The two ratios (per run) are
 smoothed over neighbouring paths in page order by a Gaussian of the paths' spread, fused by multiplication and
-thresholded by their standard deviation. The block element that holds most of the selected text is the content
-node, an article or main element above it wins; all blocks inside it are text, whatever their own ratio.
+thresholded by their standard deviation. If more than half of the selected text is in article or main elements, the
+nearest of these around all of it is the content node; where there are several, each is one. Else it is the lowest
+box (no list, table or section) around all selected text, widened while text lies beside it in a box around it. All
+blocks inside are text, whatever their own ratio.
 Elements that never hold main text (menus, headers, footers, sidebars, adverts, notices, forms, scripts, comments),
 told by tag, role or a word of their class or id, are left out before.
 
@@ -30,8 +32,13 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select noembed noframes xmp".split())
+RAW = frozenset("script style template iframe textarea title svg object canvas audio video select noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
+ARTICLES = frozenset(("article", "main"))
+#: Boxes of a page's layout: text that lies in one without a further box between belongs to what that box holds.
+BOXES = frozenset("div center td body html".split())
+#: Elements that can be the content node: no lists, tables, sections or parts of a text.
+HOLDERS = frozenset("body center div html".split())
 NEVER = frozenset("nav header footer aside form menu dialog button head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words of a class or id that mark what isn't main text.
@@ -55,7 +62,7 @@ class Node:
 
 
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in NEVER:
+    if tag in NEVER or tag == "noscript" and not inside_article:  # elsewhere it asks for scripts
         return True
     if not attributes:
         return False
@@ -121,12 +128,12 @@ def runs_of(page: str) -> list[tuple[str, Node, int]]:
                         break
                 seek = seek.parent
         order += 1
-        open_ = Node(tag, open_, f"{open_.path}/{tag}", open_.out or _unwanted(tag, m[3], False), open_.link or tag == "a", order)
+        open_ = Node(tag, open_, f"{open_.path}/{tag}", open_.out or _unwanted(tag, m[3], tag == "noscript" and _above(open_, ARTICLES) is not None), open_.link or tag == "a", order)
     return out
 
 
-def content(runs: list[tuple[str, Node, int]]) -> Node | None:
-    """The element that holds the page's main text."""
+def content(runs: list[tuple[str, Node, int]]) -> list[Node] | None:
+    """The elements that hold the page's main text; none stands for the whole page."""
     paths: dict[str, list[float]] = {}
     for text, node, _ in runs:
         n = len(text.split()) and len(text.strip())
@@ -143,38 +150,63 @@ def content(runs: list[tuple[str, Node, int]]) -> Node | None:
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel / kernel.sum(), "valid")
     fused = smooth(by_length) * smooth(by_marks)
     chosen = {p for p, x in zip(paths, fused, strict=True) if x >= min(fused.std(), fused.max())}
-    weight: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
-    total = 0
-    for text, node, _ in runs:
-        if node.path in chosen and not node.link and (n := len(text.strip())):
-            total += n
-            while node.parent is not None:
-                nodes[id(node)] = node
-                weight[id(node)] = weight.get(id(node), 0) + n
-                node = node.parent
-    holders = [nodes[k] for k, n in weight.items() if 2 * n > total and nodes[k].tag in BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote"}]
-    if not holders:
+    picked = [(node, n) for text, node, _ in runs if node.path in chosen and not node.link and (n := len(text.strip()))]
+    if not picked:
         return None
-    best = max(holders, key=lambda x: x.order)
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
+    inside = [(node, n) for node, n in picked if _above(node, ARTICLES)]
+    if 2 * sum(n for _, n in inside) > sum(n for _, n in picked):
+        if top := _above(_lowest([node for node, _ in inside]), ARTICLES):
+            return [top]
+        return list({id(x): x for _, node, _ in runs if (x := _above(node, ARTICLES, outermost=True))}.values())
+    best = _lowest([node for node, _ in picked])
+    boxes = {id(x): x for text, node, _ in runs if text.strip() and not node.link and (x := _above(node, BOXES))}
+    while best.parent is not None and (best.tag not in HOLDERS or any(_holds(x, best) for k, x in boxes.items() if x is not best)):
+        best = best.parent
+    return [best] if best.parent is not None else None
+
+
+def _line(node: Node) -> list[Node]:
+    """The element and those around it, without the root."""
+    out = []
+    while node.parent is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def _above(node: Node, tags: frozenset, outermost: bool = False) -> Node | None:
+    """The nearest (or outermost) of the element and those around it that has one of the tags."""
+    found = [x for x in _line(node) if x.tag in tags]
+    return found[-outermost] if found else None
+
+
+def _holds(node: Node, other: Node) -> bool:
+    """Is the other element inside this one?"""
+    return any(x is node for x in _line(other))
+
+
+def _lowest(nodes: list[Node]) -> Node:
+    """The deepest element around all of these."""
+    distinct = list({id(x): x for x in nodes}.values())
+    best = distinct[0]
+    for node in distinct[1:]:
+        line = {id(x) for x in _line(node)}
+        while best.parent is not None and id(best) not in line:
+            best = best.parent
     return best
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the main text in page order, joined by two line breaks."""
     runs = runs_of(page or "")
-    top = content(runs)
+    found = content(runs)
+    tops = None if found is None else {id(x) for x in found}
     inside: dict[int, bool] = {}
 
     def within(node: Node) -> bool:
         trail = []
         while node is not None and id(node) not in inside:
-            if node is top:
+            if tops is not None and id(node) in tops:
                 inside[id(node)] = True
                 break
             trail.append(node)
@@ -186,7 +218,7 @@ def main_text(page: str | None) -> str:
 
     blocks: dict[int, list[str]] = {}
     for text, node, block in runs:
-        if top is None or within(node):
+        if tops is None or within(node):
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in joined if x)

@@ -396,3 +396,24 @@ def test_near_duplicate_stage_is_five_words_and_similarity(spark, table):
     assert {r.id: r.component for r in shingledup.near_duplicates(docs(spark, rows)).collect()} == want
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF)
     assert {r.doc_id for r in kept.collect()} == set(want.values())
+
+
+def test_html_keeps_all_parts_of_pages_without_article():
+    say = lambda k, n: " ".join(f"Sentence {k} {i} tells something, in some words." for i in range(n))
+    menu = '<div class="menu"><a href=x>Home</a> <a href=y>News</a></div>'
+    items = [f"Point {i} of the list is long enough, it has a mark and a good many words." for i in range(12)]
+    lists = {
+        "ul": "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", "dl": "<dl>" + "".join(f"<dd>{x}</dd>" for x in items) + "</dl>",
+        "table": "<table><tbody>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</tbody></table>",
+    }
+    page = lambda inner: f"<html><body>{menu}<div>{inner}</div></body></html>"
+    two = f"<section><p>{say('a', 4)}</p></section><section><p>{say('b', 6)}</p></section>"
+    assert htmltext.main_text(page(two)) == f"{say('a', 4)}\n\n{say('b', 6)}"
+    assert htmltext.main_text(page(two.replace("section", "div"))) == f"{say('a', 4)}\n\n{say('b', 6)}"
+    for markup in lists.values():
+        assert htmltext.main_text(page(f"<h2>Head</h2><p>Short one.</p>{markup}<p>End.</p>")) == "\n\n".join(["Head", "Short one.", *items, "End."])
+        assert htmltext.main_text(page(f"<section><p>Short one.</p></section><section>{markup}</section>")) == "\n\n".join(["Short one.", *items])
+        assert htmltext.main_text(page(f"<p>Short one.</p><div>{markup}</div>")) == "\n\n".join(["Short one.", *items])
+    assert htmltext.main_text(page(two.replace("section", "article"))) == f"{say('a', 4)}\n\n{say('b', 6)}"
+    assert htmltext.main_text(f"<body>{menu}<article><p>{say('c', 3)} <math><mi>x</mi></math></p><noscript><p>Fallback.</p></noscript></article></body>") == f"{say('c', 3)} x\n\nFallback."
+    assert htmltext.main_text(f"<body><noscript>Please allow scripts.</noscript>{menu}<div>{two}</div></body>") == f"{say('a', 4)}\n\n{say('b', 6)}"
