@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Fitting takes a bounded sample of labelled rows (`most_examples`, the lowest hashes of their ids). Terms are words
-and word beginnings that toxic examples have far more often than others do; at most `most_terms` are kept. So the
-index is bounded by parameters (examples x terms) and may go to every worker. Scoring covers every whole text.
-
-The index: examples lie in blocks; for each block and term it keeps the largest weight. A query's bound on a block
-is the sum of its weights times those maxima; blocks are visited from the highest bound on, until no bound exceeds
-the k-th best cosine. So the k neighbours are exact (ties: smaller example number). A neighbour at cosine c votes
+Fitting takes a bounded sample of labelled rows (`most_examples`, the lowest hashes of their ids). Terms are all words
+and word beginnings that toxic examples have far more often than others do, each distinct text counted once; their
+IDF is from all documents. So the index is bounded by the sample's texts and may go to every worker. Scoring covers
+every whole text.
+
+The index: examples lie in blocks; each term has its postings, and the largest weight of each block that has it. A
+query's bound on a block is the sum of its weights times those maxima; blocks are visited from the highest bound on,
+until no bound exceeds the k-th best cosine. So the k neighbours are exact (ties: smaller example number). A neighbour at cosine c votes
 with weight 1 / (1 - c + spread); `prior` votes of the share of toxic examples among those without any term are
 added, which also is the score of a text without terms. Scores are shares of votes, hence calibrated between 0 and 1.
 
@@ -44,33 +45,54 @@ def terms_of(word: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples as rows of weights in blocks, with the largest weight of each block and term."""
+    """Examples as sparse rows of weights in blocks, with the largest weight of each term in each block that has it."""
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # blocks x size x terms, of unit length
+    rows: np.ndarray  # example, term and weight of each entry, by example; rows are of unit length
+    cols: np.ndarray
+    values: np.ndarray
     prior: float
+    size: int = 64
     k: int = 24
     prior_votes: float = 1.0
     spread: float = 0.05
 
     def __post_init__(self) -> None:
-        self.maxima = self.weights.max(axis=1) if len(self.weights) else np.zeros((0, len(self.idf)), np.float64)
+        self.blocks = -(-len(self.ids) // self.size)
+        order = np.lexsort((self.rows, self.cols))  # postings: by term, then example
+        self.posted, self.posted_values = self.rows[order], self.values[order]
+        self.ends = np.searchsorted(self.cols[order], np.arange(len(self.idf) + 1))
+        place, at = np.unique(self.cols * max(self.blocks, 1) + self.rows // self.size, return_inverse=True)
+        self.maxima = np.zeros(len(place))
+        np.maximum.at(self.maxima, at, self.values)
+        self.max_block = place % max(self.blocks, 1)
+        self.max_ends = np.searchsorted(place // max(self.blocks, 1), np.arange(len(self.idf) + 1))
         self.of_word: dict[str, tuple[int, ...]] = {}
 
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights as blocks x size x terms, for small indexes."""
+        out = np.zeros((self.blocks * self.size, len(self.idf)))
+        out[self.rows, self.cols] = self.values
+        return out.reshape(self.blocks, self.size, len(self.idf))
+
+    def known(self, word: str) -> tuple[int, ...]:
+        """The numbers of a word's terms."""
+        hit = self.of_word.get(word)
+        if hit is None:
+            if len(self.of_word) > 100_000:
+                self.of_word.clear()
+            hit = self.of_word[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
+        return hit
+
     def vector(self, counts: Counter) -> dict[int, float]:
         """TF-IDF weights of unit length by term."""
         found: Counter = Counter()
-        known = self.of_word
-        if len(known) > 100_000:
-            known.clear()
         for word, n in counts.items():
-            hit = known.get(word)
-            if hit is None:
-                hit = known[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
-            for t in hit:
+            for t in self.known(word):
                 found[t] += n
         if not found:
             return {}
@@ -81,19 +103,31 @@ class Index:
     def nearest(self, vector: dict[int, float]) -> list[tuple[int, float]]:
         """The k examples of highest cosine over zero, with the cosine."""
         terms, q = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
-        bounds = self.maxima[:, terms] @ q
+        spans = [slice(self.max_ends[t], self.max_ends[t + 1]) for t in terms]
+        bounds = np.bincount(np.concatenate([self.max_block[x] for x in spans]), np.concatenate([self.maxima[x] * w for x, w in zip(spans, q, strict=True)]), self.blocks) + 1e-12
+        lists = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
+        numbers, parts = np.concatenate([self.posted[x] for x in lists]), np.concatenate([self.posted_values[x] * w for x, w in zip(lists, q, strict=True)])
+        of = numbers // self.size
         order = np.argsort(-bounds, kind="stable")
-        size = self.weights.shape[1]
         best_n, best_c = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 8):
-            blocks = order[at : at + 8]
-            if bounds[blocks[0]] <= 0 or len(best_c) == self.k and bounds[blocks[0]] < best_c[-1]:
-                break
-            cosines = (self.weights[np.ix_(blocks, np.arange(size), terms)] @ q).ravel()
-            numbers = (blocks[:, None] * size + np.arange(size)).ravel()
-            best_n, best_c = np.append(best_n, numbers[cosines > 0]), np.append(best_c, cosines[cosines > 0])
+        at = 0
+        while at < len(order):
+            to = at + 8
+            if len(best_c) == self.k:  # all blocks that can still have a neighbour
+                to = at + int(np.count_nonzero(bounds[order[at:]] >= best_c[-1]))
+                if to == at:
+                    break
+            wanted = np.zeros(self.blocks, bool)
+            wanted[order[at:to]] = True
+            inside = wanted[of]
+            cosines = np.bincount(numbers[inside], parts[inside])
+            found = np.flatnonzero(cosines > 0)
+            best_n, best_c = np.append(best_n, found), np.append(best_c, cosines[found])
             keep = np.lexsort((best_n, -best_c))[: self.k]
             best_n, best_c = best_n[keep], best_c[keep]
+            if bounds[order[at]] <= 1e-12:
+                break
+            at = to
         return list(zip(best_n.tolist(), np.minimum(best_c, 1).tolist(), strict=True))
 
     def score(self, near: list[tuple[int, float]]) -> float:
@@ -104,7 +138,7 @@ class Index:
         return float(toxic / votes)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 16_000, most_terms: int = 512, least_docs: int = 4, least_share: float = 0.5, least_z: float = 5.0, block: int = 64, seed: int = 7) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 16_000, least_docs: int = 4, least_share: float = 0.5, least_z: float = 5.0, block: int = 64, seed: int = 7) -> Index:
     """Learn from labels (doc_id, toxic); the caller has taken out the rows that aren't for learning."""
     common.share_code(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -121,16 +155,32 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 16_000, most_te
             every = sorted(df[0].keys() | df[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([d.get(t, 0) for t in every], pa.int64()) for d in df)], names=["term", "clean", "toxic"])
 
-    n_toxic, n = taught.agg(F.coalesce(F.sum((F.col("toxic") != 0).cast("int")), F.lit(0)), F.count("*")).first()
+    once = common.cut(taught.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).select("id", "toxic", "text"))
+    n_toxic, n = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     base = n_toxic / n if n else 0.0
-    terms = taught.mapInArrow(seen, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    terms = once.mapInArrow(seen, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = F.col("toxic") + F.col("clean")
     share, z = F.col("toxic") / both, (F.col("toxic") - both * base) / F.sqrt(both * max(base * (1 - base), 1e-9))
     terms = terms.where((F.col("toxic") >= least_docs) & (share >= least_share) & (z >= least_z))
-    kept = terms.orderBy(F.desc(F.col("toxic") * (share - base)), "term").limit(most_terms).collect()
-    number = {r.term: i for i, r in enumerate(kept)}
-    idf = np.array([np.log((1 + n) / (1 + r.toxic + r.clean)) + 1 for r in kept])
-    empty = Index(number, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, block, len(number))), base)
+    kept = sorted(r.term for r in terms.select("term").collect())  # some of the words of most_examples texts
+    number = {t: i for i, t in enumerate(kept)}
+    none = np.zeros(0, np.int64)
+    empty = Index(number, np.ones(len(kept)), none, np.zeros(0), none, none, np.zeros(0), base, block)
+
+    def having(batches):
+        found, texts = np.zeros(len(number) + 1, np.int64), 0
+        for batch in common.slices(batches, 0):
+            for text in texts_of(batch, 0):
+                hit = {t for w in set(_WORD.findall(text.lower())) for t in empty.known(w)}
+                found[list(hit)] += 1
+            texts += batch.num_rows
+        found[-1] = texts
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["t", "n"])
+
+    if kept:
+        of = {r.t: r.n for r in texts.select("text").mapInArrow(having, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+        empty.idf = np.log((1 + of[len(kept)]) / (1 + np.array([of[i] for i in range(len(kept))]))) + 1
 
     def vectors(batches):
         for batch in common.slices(batches, 2):
@@ -140,18 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 16_000, most_te
     rows = sorted(taught.mapInArrow(vectors, "id long, toxic int, t array<int>, w array<double>").collect(), key=lambda r: (r.t, r.id))  # like examples share blocks
     plain = [r.toxic != 0 for r in rows if not r.t]
     rows = [r for r in rows if r.t]
-    weights = np.zeros((-(-len(rows) // block), block, len(number)))
-    for i, r in enumerate(rows):
-        weights[i // block, i % block, r.t] = r.w
+    entries = [np.concatenate([np.zeros(0, kind), *(x for x in parts)]).astype(kind) for kind, parts in ((np.int64, (np.full(len(r.t), i) for i, r in enumerate(rows))), (np.int64, (r.t for r in rows)), (np.float64, (r.w for r in rows)))]
     prior = (sum(plain) + base) / (len(plain) + 1)
-    return Index(number, idf, np.array([r.id for r in rows], np.int64), np.array([r.toxic != 0 for r in rows], np.float64), weights, prior)
+    return Index(number, empty.idf, np.array([r.id for r in rows], np.int64), np.array([r.toxic != 0 for r in rows], np.float64), *entries, prior, block)
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence): evidence is the neighbours' example ids, cosines and labels, nearest first."""
     spark = docs.sparkSession
     common.share_code(spark)
-    sent = spark.sparkContext.broadcast(index)  # bounded: most_examples x most_terms
+    sent = spark.sparkContext.broadcast(index)  # bounded: most_examples texts
 
     def work(batches):
         index = sent.value

@@ -417,3 +417,23 @@ def test_html_keeps_all_parts_of_pages_without_article():
     assert htmltext.main_text(page(two.replace("section", "article"))) == f"{say('a', 4)}\n\n{say('b', 6)}"
     assert htmltext.main_text(f"<body>{menu}<article><p>{say('c', 3)} <math><mi>x</mi></math></p><noscript><p>Fallback.</p></noscript></article></body>") == f"{say('c', 3)} x\n\nFallback."
     assert htmltext.main_text(f"<body><noscript>Please allow scripts.</noscript>{menu}<div>{two}</div></body>") == f"{say('a', 4)}\n\n{say('b', 6)}"
+
+
+def test_toxicity_copied_text_leaves_no_term_out(spark):
+    rng = np.random.default_rng(7)
+    letters = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    words = ["w" + letters(i) for i in range(300)]
+    copied = " ".join("q" + letters(7 * i) * 2 for i in range(600))  # some hundred words of its own
+    rows = [(i, " ".join(rng.choice(words, 40)) + (" vilest grim" if i % 6 == 0 else "")) for i in range(600)]
+    labels = [(i, int(i % 6 == 0)) for i in range(600)] + [(1000 + i, 1) for i in range(200)]
+    frame = docs(spark, rows + [(1000 + i, copied) for i in range(200)] + [(2000, "vilest grim"), (2001, " ".join(rng.choice(words, 40)))])
+    index = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"vilest", "grim"} <= set(index.terms) and not [t for t in index.terms if t.startswith("q")]
+    n = sum("grim" in t for _, t in rows) + 1
+    assert math.isclose(index.idf[index.terms["grim"]], math.log(803 / (1 + n)) + 1)
+    got = {r.id: r.score for r in toxicity.score(frame, index).collect()}
+    assert got[2000] >= 0.3
+    # six hundred words, each of eight toxic texts: all are terms
+    many = [(i, " ".join("v" + letters(7 * (i % 25 + 25 * j)) * 2 for j in range(24)) if i < 200 else " ".join(rng.choice(words, 24))) for i in range(2000)]
+    wide = toxicity.fit(docs(spark, [(i, f"{t} u{letters(i)}") for i, t in many]), spark.createDataFrame([(i, int(i < 200)) for i, _ in many], "doc_id long, toxic int"))
+    assert {"v" + letters(7 * k) * 2 for k in range(600)} <= set(wide.terms)
