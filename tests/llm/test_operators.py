@@ -297,6 +297,69 @@ def test_top_k(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_repeated_ids_and_odd_columns(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(0, 0.2, (90, 8))
+    ids = [i // 3 for i in range(90)]  # each id three times
+    rows = [(i, [float(c) for c in v], 1, "x", 2.0) for i, v in zip(ids, x, strict=True)]
+    frame = topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int, v string, id double"))
+    got = [tuple(r) for r in topk.top_k(frame, frame.where("id % 10 = 0"), 4, rows_per_shard=40, queries_per_block=5, chunk=8).collect()]
+    whole = np.floor(x * 256).astype(np.int64)
+    for q in (0, 10, 20):
+        best = sorted(((-int(whole[j] @ whole[i]), ids[j]) for i in range(90) if ids[i] == q for j in range(90) if ids[j] != q))[:4]
+        assert sorted(r for r in got if r[0] == q) == [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
+@pytest.mark.parametrize("kind", ["even", "falling", "groups", "copies", "huge"])
+def test_maxscore_is_exact_and_saves_work(kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (4096, 64))
+    if kind == "falling":
+        x *= np.exp(-np.arange(64) / 8)
+    if kind == "groups":
+        x = rng.normal(0, 1, (16, 64))[rng.integers(0, 16, 4096)] + 0.2 * x
+    if kind == "copies":
+        x[:1500] = x[0]
+    x = np.floor(x / np.sqrt((x * x).sum(1, keepdims=True)) * (1 << 40 if kind == "huge" else 256)).astype(np.int64)
+    order, ends = topk.chunks_of(x, 256)
+    own = rng.choice(4096, 256, replace=False)
+    work = {}
+    best = topk.maxscore(topk.Shard(x[order], order, ends), x[own], own, 5, work)
+    scores = x[own] @ x.T
+    want = []
+    for i, q in enumerate(own.tolist()):
+        want += [(i, int(j), int(scores[i, j])) for j in [j for j in np.lexsort((np.arange(4096), -scores[i])) if j != q][:5]]
+    assert list(zip(best.query.tolist(), best.id.tolist(), best.score.tolist(), strict=True)) == want
+    assert work["done"] <= work["all"] * {"falling": 0.7, "groups": 0.7}.get(kind, 1)
+
+
+def test_maxscore_costs_no_more_than_the_plain_product():
+    import time
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(0, 1, (4096, 64))
+    x = np.floor(x / np.sqrt((x * x).sum(1, keepdims=True)) * 256).astype("<i2")
+    asked, own = x[:1024].astype(np.int64), np.arange(1024)
+    order, ends = topk.chunks_of(x, topk.CHUNK)
+    shard = topk.Shard(x[order], order, ends)
+
+    def plain():  # whole numbers, a partition and the order of what it gives
+        scores = asked.astype(np.float64) @ x.astype(np.float64).T
+        scores[own, own] = -np.inf
+        near = np.argpartition(-scores, 5, axis=1)[:, :5]
+        return np.lexsort((near, -np.take_along_axis(scores, near, axis=1)), axis=1)
+
+    def took(f):
+        runs = []
+        for _ in range(5):
+            began = time.perf_counter()
+            f()
+            runs.append(time.perf_counter() - began)
+        return min(runs)
+
+    assert took(lambda: topk.maxscore(shard, asked, own, 5)) <= 2 * took(plain)  # twice, for a busy machine
+
+
 def test_vector_near_duplicates(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (400, 8))
