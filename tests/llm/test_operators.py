@@ -181,15 +181,49 @@ def brute_removals(rows, length=50):
     return out
 
 
-def test_deep_shallow_orders_windows():
+@pytest.mark.parametrize("small", [0, 4, 10_000])
+def test_deep_shallow_orders_windows(small):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 1500).astype(np.uint8)
-    data = np.concatenate([data, data[:400], np.full(200, 97, np.uint8), data[100:700], np.zeros(8, np.uint8)])
-    starts = np.arange(len(data) - 58)
-    order, group = suffixdup.deep_shallow(data, starts, 50)
-    found = [data[s : s + 50].tobytes() for s in starts[order]]
-    assert found == sorted(found) and sorted(order.tolist()) == list(range(len(starts)))
-    assert all((found[i] == found[i - 1]) == (group[i] == group[i - 1]) for i in range(1, len(found)))
+    data = np.concatenate([data, data[:400], np.full(200, 97, np.uint8), data[100:700], rng.integers(0, 256, 300).astype(np.uint8), np.zeros(8, np.uint8)])
+    starts = rng.permutation(len(data) - 58)
+    for length, buckets in ((50, 1), (50, 7), (41, 3), (48, 1)):
+        bucket = starts * 31 % buckets
+        order, group = suffixdup.deep_shallow(data, starts, bucket, length, small=small)
+        found = [(int(bucket[i]), data[starts[i] : starts[i] + length].tobytes()) for i in order]
+        assert found == sorted(found) and sorted(order.tolist()) == list(range(len(starts)))
+        assert all((found[i] == found[i - 1]) == (group[i] == group[i - 1]) for i in range(1, len(found)))
+
+
+def test_blind_trie_ranks_strings():
+    from listing_lake.llm import blindtrie
+
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.choice([0, 1, 128, 255], 4000).astype(np.uint8), np.zeros(8, np.uint8)])
+    chars = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    starts = rng.choice(np.arange(0, 3900), 900)  # some twice
+    group = np.sort(rng.integers(0, 60, 900))
+    members, rank = blindtrie.ordered_by_tries(chars, starts, np.arange(900), group, np.array([0, 8, 13]))
+    text = lambda i: data[starts[i] : starts[i] + 21].tobytes()
+    for g in range(60):
+        mine = members[group == g].tolist()
+        assert sorted(mine) == np.nonzero(group == g)[0].tolist() and [text(i) for i in mine] == sorted(map(text, mine))
+        assert rank[group == g].tolist() == [sum(text(j) < text(i) for j in mine) for i in mine]
+
+
+def test_hashes_that_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffixdup, "string_hashes", lambda data, first, size: np.full(len(first), 7, np.uint64))
+    rng = np.random.default_rng(3)
+    data = np.append(rng.integers(97, 101, 400).astype(np.uint8), np.zeros(8, np.uint8))
+    first, size = np.arange(0, 300, 10), np.full(30, 60)
+    arrays_ = dict(size=size, place=np.full(30, 20), anchor=np.arange(30).astype(np.uint64), doc=np.arange(30), several=np.ones(30, bool), length=50)
+    store, n = suffixdup.stored_strings(data, first, **arrays_)
+    assert n == 330 and len(store["keys"]) == 30
+    other = np.append(np.append(data[300:360], data[:360]), np.zeros(8, np.uint8))
+    at = np.append(0, first + 60)
+    asked, found = suffixdup.found_strings(store.get, other, at, np.full(31, 60), np.full(31, 7, np.uint64))
+    assert sorted(asked.tolist()) == list(range(1, 31))
+    assert all(store["pool"][store["at"][f] :][:60].tobytes() == other[at[a] :][:60].tobytes() for a, f in zip(asked, found, strict=True))
 
 
 def test_suffix_dedup(spark, table):
@@ -209,13 +243,23 @@ def test_suffix_dedup(spark, table):
     assert suffixdup.removals(docs(spark, [])).count() == 0
 
 
-def test_many_texts_of_one_anchor(spark, monkeypatch):
-    monkeypatch.setattr(suffixdup, "MANY", 8)
+def test_many_texts_of_one_anchor(spark):
     rng = np.random.default_rng(9)
     line = "".join(rng.choice(list("abcdefgh"), 90))
     rows = [(i, "".join(rng.choice(list("abcd"), 60)) + line + "".join(rng.choice(list("abcd"), 60))) for i in range(120)]
-    got = suffixdup.removals(docs(spark, rows)).collect()
-    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == brute_removals(rows)
+    for many in (8, 1 << 15):
+        got = suffixdup.removals(docs(spark, rows), many=many, bytes_per_shard=5000).collect()
+        assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == brute_removals(rows)
+
+
+def test_long_texts_are_worked_on_in_pieces():
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("abcdefgh"), n)) for n in (30, 900, 10, 5000, 60, 700)]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole, cut = suffixdup.Runs(data, ends, 50), suffixdup.Runs(data, ends, 50, piece=256)
+    windows = lambda r: sorted((int(r.row[i]), int(r.first[i] + j), int(r.anchor[i]), int(r.place[i] - j)) for i in range(len(r.row)) for j in range(r.count[i]))
+    assert windows(whole) == windows(cut) and len(cut.row) > len(whole.row)
+    assert len(windows(whole)) == sum(max(len(x) - 49, 0) for x in texts)
 
 
 def test_language_model(spark, table):
