@@ -544,3 +544,63 @@ def test_toxicity_copied_text_leaves_no_term_out(spark):
     many = [(i, " ".join("v" + letters(7 * (i % 25 + 25 * j)) * 2 for j in range(24)) if i < 200 else " ".join(rng.choice(words, 24))) for i in range(2000)]
     wide = toxicity.fit(docs(spark, [(i, f"{t} u{letters(i)}") for i, t in many]), spark.createDataFrame([(i, int(i < 200)) for i, _ in many], "doc_id long, toxic int"))
     assert {"v" + letters(7 * k) * 2 for k in range(600)} <= set(wide.terms)
+
+
+def _say(k, n):
+    return " ".join(f"Sentence {k} {i} tells something, in some words." for i in range(n))
+
+
+#: Pages without article or main and with names that say nothing: only the ratios tell what is content.
+ODD_PAGES = {
+    "paragraphs": (
+        '<body><div class="q1"><a href=a>Home</a> <a href=b>News</a> <a href=c>All about us</a></div><div class="q2">Buy now. Cheap!</div>'
+        f'<div class="q3"><h1>A title of it</h1><p>{_say("a", 3)}</p><p>Short.</p><p>{_say("b", 4)} <a href=x>with a link</a></p></div><div class="q4">All rights, 2020.</div></body>',
+        f"A title of it\n\n{_say('a', 3)}\n\nShort.\n\n{_say('b', 4)} with a link",
+    ),
+    "sections": (
+        f'<body><ul class=z><li><a href=a>One</a><li><a href=b>Two</a></ul><div id=k9><section><p>{_say("a", 9)}</p></section><section><p>{_say("b", 1)}</p></section></div><div>Call us.</div></body>',
+        f"{_say('a', 9)}\n\n{_say('b', 1)}",
+    ),
+    "stray quotes": (
+        f'<body><div class=x"><a href="a>">Home</a></div><div id="m" class=y\'><p title="a > b" class=z">{_say("a", 3)} "quoted".</p><p data-x=\'>\'>{_say("b", 2)}</p></div><div>Fin</div></body>',
+        f"{_say('a', 3)} \"quoted\".\n\n{_say('b', 2)}",
+    ),
+    "table layout": (
+        f"<body><table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td><p>{_say('a', 4)}</p><p>{_say('b', 2)}</p></td><td>Weather today</td></tr></table></body>",
+        f"{_say('a', 4)}\n\n{_say('b', 2)}",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD_PAGES))
+def test_html_ratios_find_the_content(name, monkeypatch):
+    page, want = ODD_PAGES[name]
+    assert htmltext.main_text(page) == want
+    monkeypatch.setattr(htmltext, "content_nodes", lambda page: ([page.nodes[0]], {}))  # without the method: the whole page
+    assert htmltext.main_text(page) != want
+
+
+def test_html_names_of_parts_only_weigh():
+    main = f"<p>{_say('a', 4)}</p>"
+    for kept in ('<p class="share-price">Kept, too.</p>', '<p id="legal">Kept, too.</p>', '<div class="widget-review">Kept, too.</div>', "<header><h1>Kept, too.</h1></header>"):
+        assert htmltext.main_text(f"<body><article>{main}{kept}</article></body>") == f"{_say('a', 4)}\n\nKept, too."
+    for gone in ('<div class="ad">', '<section id="comments-section">', '<div class="cookie notice">', '<div class="sidebar-right">', "<aside>", "<form>", '<div role="search">', "<div hidden>", "<footer>", '<ul class="menu"><li>'):
+        for box in ("article", "div"):
+            assert htmltext.main_text(f"<body><{box}>{main}{gone}Gone, all of it. {_say('c', 6)}</{gone[1:].split()[0].strip('>')}></{box}></body>") == _say("a", 4), gone
+    # a page whose whole text stands in such a part keeps it
+    assert htmltext.main_text(f'<body><div class="widget post"><p>{_say("a", 4)}</p></div></body>') == _say("a", 4)
+    assert htmltext.main_text(f'<body><div id="comments"><p>{_say("a", 4)}</p></div></body>') == _say("a", 4)
+    assert htmltext.main_text('<body><nav>Menu</nav><div class="ad">Buy now, it is cheap.</div><article></article></body>') == ""
+
+
+def test_html_deep_and_wide_pages(spark):
+    deep = "<div>" * 50_000 + f"<p>{_say('a', 2)}</p>"
+    wide = "<body>" + "<b>" * 20_000 + "</i>" * 50_000 + "".join(f"<p>Line {i}, of many.</b>" for i in range(20_000))
+    cards = "<body>" + "".join(f"<article><p>Card {i}, with words.</p></article>" for i in range(5000))
+    rows = [(1, "u", deep, 5, "x"), (1, "u", deep, 5, "x"), (None, None, wide, None, None), (3, "u", cards, 1, "y"), (4, "u", "é" * 3_000_000, 1, "y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int, id string")  # the last two clash with working names
+    got = sorted(((r.id, r.url, r.text) for r in htmltext.extracted(frame).collect()), key=str)
+    want = [(1, "u", _say("a", 2)), (1, "u", _say("a", 2)), (3, "u", "\n\n".join(f"Card {i}, with words." for i in range(5000)))]
+    want += [(4, "u", "é" * 3_000_000), (None, None, "\n\n".join(f"Line {i}, of many." for i in range(20_000)))]
+    assert got == want
+    assert htmltext.extracted(spark.createDataFrame([], frame.schema)).count() == 0
