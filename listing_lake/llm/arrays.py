@@ -96,6 +96,8 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def small(x: np.ndarray) -> np.ndarray:
-    """Counts in the smallest unsigned type that holds them."""
+    """Whole numbers in the smallest unsigned type that holds them; as they are, if some are negative."""
     most = int(x.max()) if len(x) else 0
+    if len(x) and x.min() < 0:
+        return x
     return x.astype(next(t for t in ("u1", "u2", "u4", "u8") if most < 1 << 8 * int(t[1])))

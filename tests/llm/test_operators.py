@@ -216,7 +216,7 @@ def test_hashes_that_collide_are_told_apart(monkeypatch):
     rng = np.random.default_rng(3)
     data = np.append(rng.integers(97, 101, 400).astype(np.uint8), np.zeros(8, np.uint8))
     first, size = np.arange(0, 300, 10), np.full(30, 60)
-    arrays_ = dict(size=size, place=np.full(30, 20), anchor=np.arange(30).astype(np.uint64), doc=np.arange(30), several=np.ones(30, bool), length=50)
+    arrays_ = dict(size=size, place=np.full(30, 20), doc=np.arange(30), several=np.ones(30, bool), length=50)
     store, n = suffixdup.stored_strings(data, first, **arrays_)
     assert n == 330 and len(store["keys"]) == 30
     other = np.append(np.append(data[300:360], data[:360]), np.zeros(8, np.uint8))
