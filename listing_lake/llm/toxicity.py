@@ -1,28 +1,34 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Fitting takes a bounded sample of labelled rows (`most_examples`, the lowest hashes of their ids). Terms are all words
-and word beginnings that toxic examples have far more often than others do, each distinct text counted once; their
-IDF is from all documents. So the index is bounded by the sample's texts and may go to every worker. Scoring covers
-every whole text.
-
-The index: examples lie in blocks; each term has its postings, and the largest weight of each block that has it. A
-query's bound on a block is the sum of its weights times those maxima; blocks are visited from the highest bound on,
-until no bound exceeds the k-th best cosine. So the k neighbours are exact (ties: smaller example number). A neighbour at cosine c votes
-with weight 1 / (1 - c + spread); `prior` votes of the share of toxic examples among those without any term are
-added, which also is the score of a text without terms. Scores are shares of votes, hence calibrated between 0 and 1.
-
-Rows: null texts are empty ones and score the prior; null ids and repeated rows stay; labelled rows whose document
-is missing or whose label is null teach nothing; without examples every score is 0.
+Fitting takes a bounded sample of labelled rows (`most_examples`, the lowest hashes of their ids); of equal texts one
+is an example. Terms are all words that at least `least_docs` examples have. A term weighs (1 + log of its count) times
+its IDF over all documents times the chi-square of its document frequency among toxic examples against all examples, so
+words that say nothing about the label count little; none is left out. All examples are indexed, and a query's vector
+has all its terms. So the index is bounded by the sample's texts and may go to every worker; scoring covers every
+whole text.
+
+The index: examples lie in blocks; each term has its postings, its largest weight, and the largest in each block that
+has it. A query's terms are traversed from the largest bound (its weight times the term's largest) on. When the
+k-th best sum so far is known, only examples can still come in whose sum plus their block's bound on the terms left
+reaches it; when these are few, they are probed by their own vectors. So the k neighbours are exact (ties: smaller
+example number). A neighbour at cosine c votes with weight 1 / (1 - c + spread); `prior_votes` of the share of toxic
+examples are added, which also is the score of a text without known terms. Scores are shares of votes, between 0 and 1.
+
+Rows: null texts are empty ones and score the prior; null ids and repeated rows stay; labelled rows whose document is
+missing or whose label is null teach nothing, of several labels of one id the highest counts; without examples every
+score is 0. Columns of other names stay as they are. A text of any length is taken whole.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +36,23 @@ from . import common
 from .bpe import texts_of
 
 _WORD = regex.compile(r"\p{L}+")
-STARTS = (4, 5, 6)
 FOLDS, HELD_OUT, REJECT = 4, 2, 0.3
+FIRST_POSTINGS, GROWTH = 4096, 4
 
 
 def counts_of(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself, and its beginnings, marked by a star."""
-    return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
-
-
 @dataclass
 class Index:
-    """Examples as sparse rows of weights in blocks, with the largest weight of each term in each block that has it."""
+    """Examples as sparse rows of unit length, their postings by term, and the largest weights by term and block."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # of each term, without its count
     ids: np.ndarray
     labels: np.ndarray
-    rows: np.ndarray  # example, term and weight of each entry, by example; rows are of unit length
+    rows: np.ndarray  # example, term and weight of each entry, by example and term
     cols: np.ndarray
     values: np.ndarray
     prior: float
@@ -61,74 +62,74 @@ class Index:
     spread: float = 0.05
 
     def __post_init__(self) -> None:
-        self.blocks = -(-len(self.ids) // self.size)
+        n_terms, self.blocks = len(self.weight), -(-len(self.ids) // self.size)
+        self.row_ends = np.searchsorted(self.rows, np.arange(len(self.ids) + 1))
         order = np.lexsort((self.rows, self.cols))  # postings: by term, then example
         self.posted, self.posted_values = self.rows[order], self.values[order]
-        self.ends = np.searchsorted(self.cols[order], np.arange(len(self.idf) + 1))
-        place, at = np.unique(self.cols * max(self.blocks, 1) + self.rows // self.size, return_inverse=True)
-        self.maxima = np.zeros(len(place))
-        np.maximum.at(self.maxima, at, self.values)
-        self.max_block = place % max(self.blocks, 1)
-        self.max_ends = np.searchsorted(place // max(self.blocks, 1), np.arange(len(self.idf) + 1))
-        self.of_word: dict[str, tuple[int, ...]] = {}
-
-    @property
-    def weights(self) -> np.ndarray:
-        """All weights as blocks x size x terms, for small indexes."""
-        out = np.zeros((self.blocks * self.size, len(self.idf)))
-        out[self.rows, self.cols] = self.values
-        return out.reshape(self.blocks, self.size, len(self.idf))
-
-    def known(self, word: str) -> tuple[int, ...]:
-        """The numbers of a word's terms."""
-        hit = self.of_word.get(word)
-        if hit is None:
-            if len(self.of_word) > 100_000:
-                self.of_word.clear()
-            hit = self.of_word[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
-        return hit
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """TF-IDF weights of unit length by term."""
-        found: Counter = Counter()
-        for word, n in counts.items():
-            for t in self.known(word):
-                found[t] += n
+        self.ends = np.searchsorted(self.cols[order], np.arange(n_terms + 1))
+        place = self.cols[order].astype(np.int64) * max(self.blocks, 1) + self.posted // self.size
+        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        self.block_most = np.maximum.reduceat(self.posted_values, heads) if len(heads) else np.zeros(0)
+        self.block = (place[heads] % max(self.blocks, 1)).astype(np.int32)
+        self.block_ends = np.searchsorted(place[heads] // max(self.blocks, 1), np.arange(n_terms + 1))
+        self.most = np.zeros(n_terms)
+        np.maximum.at(self.most, self.cols, self.values)
+        self.posted, self.block = self.posted.astype(np.int64), self.block.astype(np.int64)  # as they are counted
+        self.row_length = len(self.cols) / max(len(self.ids), 1)
+        self.scratch = np.zeros(n_terms)  # one query by term, empty between calls
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(terms ascending, TF-IDF weights of unit length)."""
+        found = [(t, n) for word, n in counts.items() if (t := self.terms.get(word)) is not None]
         if not found:
-            return {}
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in found.items()}
-        norm = np.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in sorted(raw.items())}
-
-    def nearest(self, vector: dict[int, float]) -> list[tuple[int, float]]:
-        """The k examples of highest cosine over zero, with the cosine."""
-        terms, q = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
-        spans = [slice(self.max_ends[t], self.max_ends[t + 1]) for t in terms]
-        bounds = np.bincount(np.concatenate([self.max_block[x] for x in spans]), np.concatenate([self.maxima[x] * w for x, w in zip(spans, q, strict=True)]), self.blocks) + 1e-12
-        lists = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
-        numbers, parts = np.concatenate([self.posted[x] for x in lists]), np.concatenate([self.posted_values[x] * w for x, w in zip(lists, q, strict=True)])
-        of = numbers // self.size
-        order = np.argsort(-bounds, kind="stable")
-        best_n, best_c = np.zeros(0, np.int64), np.zeros(0)
-        at = 0
-        while at < len(order):
-            to = at + 8
-            if len(best_c) == self.k:  # all blocks that can still have a neighbour
-                to = at + int(np.count_nonzero(bounds[order[at:]] >= best_c[-1]))
-                if to == at:
-                    break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[order[at:to]] = True
-            inside = wanted[of]
-            cosines = np.bincount(numbers[inside], parts[inside])
-            found = np.flatnonzero(cosines > 0)
-            best_n, best_c = np.append(best_n, found), np.append(best_c, cosines[found])
-            keep = np.lexsort((best_n, -best_c))[: self.k]
-            best_n, best_c = best_n[keep], best_c[keep]
-            if bounds[order[at]] <= 1e-12:
-                break
-            at = to
-        return list(zip(best_n.tolist(), np.minimum(best_c, 1).tolist(), strict=True))
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, n = np.array(found, np.int64).T
+        order = np.argsort(t)
+        t, w = t[order], ((1 + np.log(n)) * self.weight[t])[order]
+        norm = np.sqrt((w * w).sum())
+        return (t[w > 0], w[w > 0] / norm) if norm > 0 else (np.zeros(0, np.int64), np.zeros(0))
+
+    def cosines(self, examples: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Of some examples with a query given for all terms, by the examples' own vectors."""
+        starts, n = self.row_ends[examples], self.row_ends[examples + 1] - self.row_ends[examples]
+        at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+        return np.bincount(np.repeat(np.arange(len(examples)), n), self.values[at] * query[self.cols[at]], len(examples))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, work: dict | None = None) -> list[tuple[int, float]]:
+        """The k examples of highest cosine over zero, with the cosine. work, if given, counts postings and probes."""
+        n = len(self.ids)
+        if not len(terms) or not n:
+            return []
+        order = np.argsort(-weights * self.most[terms], kind="stable")
+        terms, weights = terms[order], weights[order]
+        lists = [slice(a, b) for a, b in zip(self.ends[terms].tolist(), self.ends[terms + 1].tolist(), strict=True)]
+        lengths = self.ends[terms + 1] - self.ends[terms]
+        upto = np.cumsum(lengths)
+        sums, done, step, whole = np.zeros(n), 0, FIRST_POSTINGS, False
+        while not whole:
+            # essential terms: those with the largest bounds, more until few examples are left
+            to = max(done + 1, int(np.searchsorted(upto, step, "right")))
+            mine = lists[done:to]
+            found = np.concatenate([self.posted[x] for x in mine])
+            sums += np.bincount(found, np.concatenate([self.posted_values[x] for x in mine]) * np.repeat(weights[done:to], lengths[done:to]), n)
+            if work is not None:
+                work["postings"] = work.get("postings", 0) + len(found)
+            done, step, whole = to, GROWTH * step, to >= len(terms)
+            least = np.partition(sums, n - self.k)[n - self.k] if n > self.k else 0.0
+            near = np.flatnonzero(sums >= least - 1e-9 if least > 0 else sums > 0)
+            if not whole and least > 0:
+                blocks = [slice(a, b) for a, b in zip(self.block_ends[terms[done:]].tolist(), self.block_ends[terms[done:] + 1].tolist(), strict=True)]
+                bounds = np.concatenate([self.block_most[x] for x in blocks]) * np.repeat(weights[done:], [x.stop - x.start for x in blocks])
+                bound = np.bincount(np.concatenate([self.block[x] for x in blocks]), bounds, self.blocks)
+                near = np.flatnonzero(sums + np.repeat(bound, self.size)[:n] >= least - 1e-9)
+                whole = len(near) * self.row_length <= upto[-1] - upto[done - 1]  # probing them costs less than the other postings
+        if work is not None:
+            work["probed"] = work.get("probed", 0) + len(near)
+        self.scratch[terms] = weights
+        c = self.cosines(near, self.scratch)
+        self.scratch[terms] = 0.0
+        best = np.lexsort((near, -c))[: self.k]
+        return [(int(near[i]), float(min(c[i], 1.0))) for i in best if c[i] > 0]
 
     def score(self, near: list[tuple[int, float]]) -> float:
         votes, toxic = self.prior_votes, self.prior_votes * self.prior
@@ -138,61 +139,78 @@ class Index:
         return float(toxic / votes)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 16_000, least_docs: int = 4, least_share: float = 0.5, least_z: float = 5.0, block: int = 64, seed: int = 7) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, least_docs: int = 2, block: int = 64, seed: int = 7) -> Index:
     """Learn from labels (doc_id, toxic); the caller has taken out the rows that aren't for learning."""
     common.share_code(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    taught = common.cut(texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text"))  # most_examples rows of two numbers
+    taught = texts.join(F.broadcast(chosen), "id").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text"))  # most_examples rows of two numbers
+    once = common.cut(taught.groupBy("text").agg(F.min("id").alias("id"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).select("id", "toxic", "text"))
+    n_toxic, n = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
 
     def seen(batches):
         for batch in common.slices(batches, 2):
-            df = ({}, {})
+            df = (Counter(), Counter())
             for y, text in zip(batch.column(1).to_pylist(), texts_of(batch, 2), strict=True):
-                for t in {t for w in counts_of(text) for t in terms_of(w)}:
-                    df[y != 0][t] = df[y != 0].get(t, 0) + 1
+                df[y].update(set(_WORD.findall(text.lower())))
             every = sorted(df[0].keys() | df[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([d.get(t, 0) for t in every], pa.int64()) for d in df)], names=["term", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([d[t] for t in every], pa.int64()) for d in df)], names=["term", "clean", "toxic"])
 
-    once = common.cut(taught.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).select("id", "toxic", "text"))
-    n_toxic, n = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    base = n_toxic / n if n else 0.0
-    terms = once.mapInArrow(seen, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = F.col("toxic") + F.col("clean")
-    share, z = F.col("toxic") / both, (F.col("toxic") - both * base) / F.sqrt(both * max(base * (1 - base), 1e-9))
-    terms = terms.where((F.col("toxic") >= least_docs) & (share >= least_share) & (z >= least_z))
-    kept = sorted(r.term for r in terms.select("term").collect())  # some of the words of most_examples texts
-    number = {t: i for i, t in enumerate(kept)}
-    none = np.zeros(0, np.int64)
-    empty = Index(number, np.ones(len(kept)), none, np.zeros(0), none, none, np.zeros(0), base, block)
+    found = once.mapInArrow(seen, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = found.where(F.col("clean") + F.col("toxic") >= least_docs).toArrow().sort_by("term")  # words of most_examples texts
+    number = {t: i for i, t in enumerate(found.column("term").to_pylist())}
+    clean, toxic = (found.column(c).to_numpy().astype(float) for c in ("clean", "toxic"))
 
     def having(batches):
-        found, texts = np.zeros(len(number) + 1, np.int64), 0
+        held, texts = np.zeros(len(number), np.int64), 0
         for batch in common.slices(batches, 0):
             for text in texts_of(batch, 0):
-                hit = {t for w in set(_WORD.findall(text.lower())) for t in empty.known(w)}
-                found[list(hit)] += 1
+                held[[t for w in set(_WORD.findall(text.lower())) if (t := number.get(w)) is not None]] += 1
             texts += batch.num_rows
-        found[-1] = texts
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["t", "n"])
-
-    if kept:
-        of = {r.t: r.n for r in texts.select("text").mapInArrow(having, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-        empty.idf = np.log((1 + of[len(kept)]) / (1 + np.array([of[i] for i in range(len(kept))]))) + 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(held[at], texts))], names=["t", "n"])
+
+    weight = np.zeros(len(number))
+    if len(number):
+        of = texts.select("text").mapInArrow(having, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        held, times = of.column("t").to_numpy(), of.column("n").to_numpy()
+        df = np.zeros(len(number))
+        df[held[held >= 0]] = times[held >= 0]
+        weight = np.log((1 + times[held < 0].sum()) / (1 + df)) * chi_square(clean, toxic, n - n_toxic, n_toxic)
+    none = np.zeros(0, np.int64)
+    empty = Index(number, weight, none, np.zeros(0), none, none, np.zeros(0), 0.0, block)
 
     def vectors(batches):
         for batch in common.slices(batches, 2):
             rows = [empty.vector(counts_of(t)) for t in texts_of(batch, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(v) for v in rows], pa.list_(pa.int32())), pa.array([list(v.values()) for v in rows], pa.list_(pa.float64()))], names=["id", "toxic", "t", "w"])
+            columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "toxic", "t", "w"])
 
-    rows = sorted(taught.mapInArrow(vectors, "id long, toxic int, t array<int>, w array<double>").collect(), key=lambda r: (r.t, r.id))  # like examples share blocks
-    plain = [r.toxic != 0 for r in rows if not r.t]
-    rows = [r for r in rows if r.t]
-    entries = [np.concatenate([np.zeros(0, kind), *(x for x in parts)]).astype(kind) for kind, parts in ((np.int64, (np.full(len(r.t), i) for i, r in enumerate(rows))), (np.int64, (r.t for r in rows)), (np.float64, (r.w for r in rows)))]
-    prior = (sum(plain) + base) / (len(plain) + 1)
-    return Index(number, empty.idf, np.array([r.id for r in rows], np.int64), np.array([r.toxic != 0 for r in rows], np.float64), *entries, prior, block)
+    rows = once.mapInArrow(vectors, "id long, toxic int, t array<int>, w array<double>").collect() if n else []  # most_examples vectors
+    heaviest = lambda r: tuple(t for _, t in sorted(zip(r.w, r.t, strict=True), key=lambda x: (-x[0], x[1]))[:4])
+    rows.sort(key=lambda r: (heaviest(r), r.id))  # like examples share blocks
+    sizes = [len(r.t) for r in rows]
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(np.array(x, kind) for x in parts)])
+    entries = np.repeat(np.arange(len(rows)), sizes).astype(np.int32), joined((r.t for r in rows), np.int32), joined((r.w for r in rows), np.float64)
+    return Index(number, weight, np.array([r.id for r in rows], np.int64), np.array([r.toxic for r in rows], np.float64), *entries, n_toxic / n if n else 0.0, block)
+
+
+def chi_square(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """How far a term's share of toxic examples is from that of all, squared, in units of chance."""
+    both, base = clean + toxic, n_toxic / max(n_clean + n_toxic, 1)
+    return (toxic - both * base) ** 2 / np.maximum(both * base * (1 - base), 1e-9)
+
+
+def _judged(index: Index, cache: dict, text: str) -> tuple[float, list[tuple[int, float]]]:
+    """(score, neighbours) of a text; copies are asked once."""
+    key = xxhash.xxh3_128_digest(text.encode())
+    if key not in cache:
+        if len(cache) > 50_000:
+            cache.clear()
+        near = index.nearest(*index.vector(counts_of(text)))
+        cache[key] = index.score(near), near
+    return cache[key]
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,22 +221,15 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         index = sent.value
-        answers: dict[tuple, tuple] = {}
+        judged = functools.partial(_judged, index, {})
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in common.slices(batches, 1):
-            scores, evidence = [], []
-            for text in texts_of(batch, 1):
-                v = index.vector(counts_of(text))
-                key = tuple(v.items())
-                if key not in answers:
-                    if len(answers) > 20_000:
-                        answers.clear()
-                    near = index.nearest(v) if v else []
-                    answers[key] = index.score(near), [{"id": int(index.ids[n]), "cosine": c, "toxic": int(index.labels[n])} for n, c in near]
-                scores.append(answers[key][0])
-                evidence.append(answers[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))], names=["id", "score", "evidence"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, score double, evidence array<struct<id: long, cosine: double, toxic: int>>")
+            found = [judged(text) for text in texts_of(batch, 1)]
+            evidence = [[{"id": int(index.ids[n]), "cosine": c, "toxic": int(index.labels[n])} for n, c in near] for _, near in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=["id", "score", "evidence"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(work, "id long, score double, evidence array<struct<id: long, cosine: double, toxic: int>>")
 
 
 def without_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -229,10 +240,9 @@ def without_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_co
     flag = common.free_name(docs, "toxicity")
 
     def work(batches):
-        index = sent.value
+        judged = functools.partial(_judged, sent.value, {})
         for batch in common.slices(batches, n + 1):
-            vectors = [index.vector(counts_of(t)) for t in texts_of(batch, n + 1)]
-            yield common.appended(batch, n, **{flag: pa.array([index.score(index.nearest(v) if v else []) for v in vectors], pa.float64())})
+            yield common.appended(batch, n, **{flag: pa.array([judged(t)[0] for t in texts_of(batch, n + 1)], pa.float64())})
 
     return rows.mapInArrow(work, common.widened(docs, **{flag: "double"})).where(F.col(flag) < reject).drop(flag)
 
