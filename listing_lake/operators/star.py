@@ -39,8 +39,12 @@ DIMENSIONS = {
 
 
 def adjusted_rates(snapshots: DataFrame, rate: str = "mortgage_rate", date: str = "scraping_date", kind: str = "listing_type") -> DataFrame:
-    """Mean rate of sale and auction listings by date; dates without a rate are absent."""
-    return snapshots.where(F.col(kind).isin("sale", "auction") & F.col(rate).isNotNull()).groupBy(date).agg(F.avg(rate).alias("date_rate"))
+    """Mean rate of sale and auction listings by date; dates without a rate are absent.
+
+    Rates are added as decimals, so the mean doesn't depend on the order of rows and neither do the keys made of it.
+    """
+    exact = F.avg(F.col(rate).cast("decimal(18,9)")).cast("double")
+    return snapshots.where(F.col(kind).isin("sale", "auction") & F.col(rate).isNotNull()).groupBy(date).agg(exact.alias("date_rate"))
 
 
 def with_payment(snapshots: DataFrame, rates: DataFrame, date: str = "scraping_date") -> DataFrame:

@@ -73,6 +73,11 @@ def half_even(x: str, digits: int = 2) -> str:
     return f"(CASE WHEN ({x}) IS NOT NULL THEN (CASE WHEN {v} - floor({v}) > 0.5 THEN floor({v}) + 1 WHEN {v} - floor({v}) < 0.5 THEN floor({v}) ELSE floor({v}) + CAST(floor({v}) AS BIGINT) % 2 END) / CAST({float(10 ** digits)} AS DOUBLE) END)"
 
 
+def half_up(x: str, precision: int, scale: int) -> str:
+    """SQL: a number as a decimal, rounded half away from zero on its decimal text, as NUMERIC columns of databases do."""
+    return f"CAST(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 16)) AS DECIMAL({precision}, {scale}))"
+
+
 def pages(rows: DataFrame, real_estate: Column, title: Column, has_payload: Column, has_detail: Column) -> DataFrame:
     """Rows with an html column: a page with the JSON payload of a listing."""
     detail = F.struct(F.when(has_detail, F.struct(real_estate.alias("realEstate"))).alias("detailData"))

@@ -34,7 +34,7 @@ def e1_adjusted_rates(spark, sf_dir):
     return star.adjusted_rates(b.listings(spark, sf_dir)).select("scraping_date", F.round("date_rate", 9).alias("date_rate"))
 
 
-_RATES_SQL = ", rates AS (SELECT scraping_date, avg(mortgage_rate) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1)"
+_RATES_SQL = ", rates AS (SELECT scraping_date, round(CAST(sum(CAST(mortgage_rate AS DECIMAL(18, 9))) AS DOUBLE) / count(*), 13) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1)"
 
 
 @query(sql(_RATES_SQL + """ SELECT listing_id, scraping_date, round(r, 9) AS resolved_rate, CASE WHEN listing_type <> 'rent' AND price > 0 AND r > 0 THEN round(price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE)), 4) END AS monthly_payment
@@ -97,9 +97,15 @@ dimension("dim_location_info", star.DIMENSIONS["dim_location_info"][1], f"""SELE
 dimension("dim_building_info", ["has_elevator", "building_year", "total_building_floors", "total_number_of_residential_units", "work_start_date", "work_end_date"], f"""SELECT DISTINCT size % 2 = 1 AS has_elevator, building_year, size % 8 + 1 AS total_building_floors, size AS total_number_of_residential_units,
  CAST(scraping_date - INTERVAL 100 DAY AS DATE) AS work_start_date, CAST(scraping_date + INTERVAL 300 DAY AS DATE) AS work_end_date {_SOME}""")
 dimension("dim_auction_info", ["auction_end_date", "deposit_modality", "is_open", "minimum_offer", "lot_category_id", "lot_category_name"], f"""SELECT DISTINCT CAST(scraping_date + INTERVAL 60 DAY AS DATE) AS auction_end_date, 'assegno' AS deposit_modality, true AS is_open, CAST(trunc(price) AS DECIMAL(15, 2)) AS minimum_offer, size AS lot_category_id, 'residenziale' AS lot_category_name {_SOME} AND listing_type = 'auction'""")
-dimension("dim_additional_costs", ["condominium_monthly_expenses", "heating_yearly_expenses"], _RATES_SQL.replace("FROM listing WHERE", "FROM listing WHERE size <> 13 AND") + f""" SELECT condominium_monthly_expenses, heating_yearly_expenses FROM (SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(size + 1 AS DECIMAL(10, 2)) END AS condominium_monthly_expenses, CASE WHEN size <> 13 AND size % 2 = 0 THEN CAST(size * 10 AS DECIMAL(10, 2)) END AS heating_yearly_expenses,
- {half_even('r', 4)} AS mortgage_rate, CASE WHEN size <> 13 AND listing_type <> 'rent' AND price > 0 AND r > 0 THEN {half_even('price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE))')} END AS monthly_payment
- FROM (SELECT listing.*, CASE WHEN listing_type = 'rent' THEN CASE WHEN size <> 13 THEN mortgage_rate END ELSE coalesce(CASE WHEN size <> 13 THEN mortgage_rate END, date_rate) END AS r FROM listing LEFT JOIN rates USING (scraping_date)))""")
+_COSTS_SQL = _RATES_SQL.replace("FROM listing WHERE", "FROM listing WHERE size <> 13 AND") + f"""
+SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(size + 1 AS DECIMAL(10, 2)) END AS condominium_monthly_expenses,
+ CASE WHEN size <> 13 AND size % 2 = 0 THEN CAST(size * 10 AS DECIMAL(10, 2)) END AS heating_yearly_expenses,
+ {b.half_up('r', 5, 4)} AS mortgage_rate,
+ {b.half_up("""CASE WHEN size <> 13 AND listing_type <> 'rent' AND price > 0 AND r > 0
+  THEN price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE)) END""", 10, 2)} AS monthly_payment
+FROM (SELECT *, CASE WHEN listing_type = 'rent' THEN own ELSE coalesce(own, date_rate) END AS r
+ FROM (SELECT listing.*, date_rate, CASE WHEN size <> 13 THEN mortgage_rate END AS own FROM listing LEFT JOIN rates USING (scraping_date)))"""
+dimension("dim_additional_costs", star.DIMENSIONS["dim_additional_costs"][1], _COSTS_SQL)
 dimension("dim_surface_composition", star.DIMENSIONS["dim_surface_composition"][1], """SELECT DISTINCT element_name, size % 4 + k AS element_floor, CAST(size + k + 0.5 AS FLOAT) AS element_surface, CAST(100 AS FLOAT) AS percentage, CAST(NULL AS FLOAT) AS element_commercial_surface FROM listing, (VALUES ('abitazione', 2), ('box', 1)) e(element_name, k) WHERE size <> 13""")
 dimension("dim_cadastral_info", star.DIMENSIONS["dim_cadastral_info"][1], f"SELECT DISTINCT CAST(size AS VARCHAR) AS cadastral, 'info' AS cadastral_additional_info, CAST(NULL AS VARCHAR) AS sub_cadastral_info {_SOME}")
 
