@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,10 @@ def counts_of(text: str) -> Counter:
 
 @dataclass
 class Index:
-    """Examples as sparse rows of unit length, their postings by term, and the largest weights by term and block."""
+    """Examples as sparse rows of unit length, their postings by term, and the largest weights by term and block.
+
+    Examples' weights are kept in single precision, sums are in double.
+    """
 
     terms: dict[str, int]
     weight: np.ndarray  # of each term, without its count
@@ -61,20 +64,28 @@ class Index:
     prior_votes: float = 1.0
     spread: float = 0.05
 
+    def __getstate__(self) -> dict:
+        """What is sent to workers; they make postings and bounds of it."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def __post_init__(self) -> None:
         n_terms, self.blocks = len(self.weight), -(-len(self.ids) // self.size)
         self.row_ends = np.searchsorted(self.rows, np.arange(len(self.ids) + 1))
         order = np.lexsort((self.rows, self.cols))  # postings: by term, then example
-        self.posted, self.posted_values = self.rows[order], self.values[order]
+        self.values = self.values.astype(np.float32)
+        self.posted, self.posted_values = self.rows[order].astype(np.int64), self.values[order].astype(np.float64)  # as they are counted
         self.ends = np.searchsorted(self.cols[order], np.arange(n_terms + 1))
         place = self.cols[order].astype(np.int64) * max(self.blocks, 1) + self.posted // self.size
         heads = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
         self.block_most = np.maximum.reduceat(self.posted_values, heads) if len(heads) else np.zeros(0)
-        self.block = (place[heads] % max(self.blocks, 1)).astype(np.int32)
+        self.block = place[heads] % max(self.blocks, 1)
         self.block_ends = np.searchsorted(place[heads] // max(self.blocks, 1), np.arange(n_terms + 1))
         self.most = np.zeros(n_terms)
         np.maximum.at(self.most, self.cols, self.values)
-        self.posted, self.block = self.posted.astype(np.int64), self.block.astype(np.int64)  # as they are counted
         self.row_length = len(self.cols) / max(len(self.ids), 1)
         self.scratch = np.zeros(n_terms)  # one query by term, empty between calls
 
@@ -93,7 +104,7 @@ class Index:
         """Of some examples with a query given for all terms, by the examples' own vectors."""
         starts, n = self.row_ends[examples], self.row_ends[examples + 1] - self.row_ends[examples]
         at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
-        return np.bincount(np.repeat(np.arange(len(examples)), n), self.values[at] * query[self.cols[at]], len(examples))
+        return np.bincount(np.repeat(np.arange(len(examples)), n), self.values[at].astype(np.float64) * query[self.cols[at]], len(examples))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, work: dict | None = None) -> list[tuple[int, float]]:
         """The k examples of highest cosine over zero, with the cosine. work, if given, counts postings and probes."""
@@ -179,20 +190,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, least_doc
         df[held[held >= 0]] = times[held >= 0]
         weight = np.log((1 + times[held < 0].sum()) / (1 + df)) * chi_square(clean, toxic, n - n_toxic, n_toxic)
     none = np.zeros(0, np.int64)
-    empty = Index(number, weight, none, np.zeros(0), none, none, np.zeros(0), 0.0, block)
+    empty = Index(number, weight, none, np.zeros(0), none, none, np.zeros(0, np.float32), 0.0, block)
 
     def vectors(batches):
         for batch in common.slices(batches, 2):
             rows = [empty.vector(counts_of(t)) for t in texts_of(batch, 2)]
-            columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+            columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "toxic", "t", "w"])
 
-    rows = once.mapInArrow(vectors, "id long, toxic int, t array<int>, w array<double>").collect() if n else []  # most_examples vectors
+    rows = once.mapInArrow(vectors, "id long, toxic int, t array<int>, w array<float>").collect() if n else []  # most_examples vectors
     heaviest = lambda r: tuple(t for _, t in sorted(zip(r.w, r.t, strict=True), key=lambda x: (-x[0], x[1]))[:4])
     rows.sort(key=lambda r: (heaviest(r), r.id))  # like examples share blocks
     sizes = [len(r.t) for r in rows]
     joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(np.array(x, kind) for x in parts)])
-    entries = np.repeat(np.arange(len(rows)), sizes).astype(np.int32), joined((r.t for r in rows), np.int32), joined((r.w for r in rows), np.float64)
+    entries = np.repeat(np.arange(len(rows)), sizes).astype(np.int32), joined((r.t for r in rows), np.int32), joined((r.w for r in rows), np.float32)
     return Index(number, weight, np.array([r.id for r in rows], np.int64), np.array([r.toxic for r in rows], np.float64), *entries, n_toxic / n if n else 0.0, block)
 
 
