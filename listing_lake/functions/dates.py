@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .numbers import col, empty_to_null
 from .strings import strip
 
-FORMATS = ("yyyy-M-d", "d/M/yyyy", "d/M/yy")
+_SHAPES = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2}))$"
 
 
 def to_date(x: Column | str) -> Column:
     """ISO, then day/month/year with four, then with two digits (2000 to 2099); else NULL."""
     text = strip(col(x).cast("string"))
-    shapes = (r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{2}$")
-    return F.coalesce(*(F.when(text.rlike(s), F.try_to_date(text, f)) for s, f in zip(shapes, FORMATS, strict=True)))
+    day, month, year = (F.split_part(text, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    iso = F.when(F.contains(text, F.lit("/")), F.concat_ws("-", year, month, day)).otherwise(text)
+    return F.when(text.rlike(_SHAPES), iso.try_cast("date"))
 
 
 def days_between(a: Column | str, b: Column | str) -> Column:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"^\s+|\s+$"
+SPACES = " \t\n\x0b\f\r"
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: Column | str) -> Column:
+    """Text without the white space around it."""
+    return F.trim(col(x), F.lit(SPACES))
+
+
 def empty_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -20,8 +25,8 @@ def number_text(x: Column | str) -> Column:
     """Digits with a decimal point out of text. Dots before groups of three digits go, a comma is the point;
     anything but ASCII digits is dropped, and a text without digits is NULL."""
     digits = F.regexp_replace(col(x).cast("string"), r"[^0-9.,]", "")
-    digits = F.regexp_replace(digits, r"\.(?=\d{3}(?:\D|$))", "")
-    return F.nullif(F.regexp_replace(F.replace(digits, F.lit(","), F.lit(".")), r"^\.+|\.+$", ""), F.lit(""))
+    digits = F.when(F.contains(digits, F.lit(".")), F.regexp_replace(digits, r"\.(?=\d{3}(?:\D|$))", "")).otherwise(digits)
+    return F.nullif(F.trim(F.translate(digits, ",", "."), F.lit(".")), F.lit(""))
 
 
 def to_double(x: Column | str) -> Column:
@@ -31,16 +36,15 @@ def to_double(x: Column | str) -> Column:
 
 def room_range(x: Column | str) -> Column:
     """A count. `3+` is 4, `a-b` is b, `a-b+` is b + 1, decimals are cut off, bad text is NULL."""
-    text = F.regexp_replace(col(x).cast("string"), r"\s", "")
-    upper = F.regexp_extract(text, r"^(?:\d+-)?(\d+)(\+?)$", 1)
-    plus = F.regexp_extract(text, r"^(?:\d+-)?(\d+)(\+?)$", 2)
-    ranged = upper.try_cast("int") + F.when(plus == "+", 1).otherwise(0)
-    return F.coalesce(ranged, F.when(text.rlike(r"^-?\d+(\.\d*)?$"), text.try_cast("double").cast("int")))
+    text = F.translate(col(x).cast("string"), SPACES, "")
+    ranged = r"^(?:\d+-)?(\d+)(\+?)$"
+    upper = F.regexp_extract(text, ranged, 1).try_cast("int") + F.when(F.endswith(text, F.lit("+")), 1).otherwise(0)
+    return F.when(text.rlike(r"^-?\d+(\.\d*)?$"), text.try_cast("double").cast("int")).otherwise(upper)
 
 
 def room_count(x: Column | str) -> Column:
     """Whole numbers as they are, `3+` is 4 and `5+` is 6, other text NULL."""
-    text = F.regexp_replace(col(x).cast("string"), SPACES, "")
+    text = strip(col(x).cast("string"))
     return F.when(text == "3+", 4).when(text == "5+", 6).otherwise(text.try_cast("int"))
 
 
@@ -66,7 +70,7 @@ BASEMENT, GROUND = r"(?i)interrato", r"(?i)terra|rialzato"
 def property_floor(abbreviation: Column | str, text: Column | str) -> Column:
     """The floor of a property: ground floor (T, or a text of it, basements apart) is 0, else a whole number."""
     ground = (F.upper(col(abbreviation)) == "T") | (col(text).rlike(GROUND) & ~col(text).rlike(BASEMENT))
-    return F.when(F.coalesce(ground, F.lit(False)), 0).otherwise(F.regexp_replace(F.coalesce(col(text), col(abbreviation)), SPACES, "").try_cast("int"))
+    return F.when(F.coalesce(ground, F.lit(False)), 0).otherwise(strip(F.coalesce(col(text), col(abbreviation))).try_cast("int"))
 
 
 def floor_level(x: Column | str) -> Column:

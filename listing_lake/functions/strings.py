@@ -7,11 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import SPACES, col
-
-
-def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), SPACES, "")
+from .numbers import col, strip
 
 
 def lower(x: Column | str) -> Column:

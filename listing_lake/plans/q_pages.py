@@ -121,8 +121,8 @@ def b10_b11_sublistings_page_count(spark, sf_dir):
     return df.select("page_id", pages.listing_ids(links).alias("ids"), F.size(links).alias("n_links"), pages.page_count("html").alias("page_count"))
 
 
-def _features(spark, sf_dir):
-    return extract.features(b.listing_pages(spark, sf_dir)).select("listing_id", "scraping_date", "listing_features.*")
+def _features(spark, sf_dir, *groups):
+    return extract.features(b.listing_pages(spark, sf_dir), only=groups).select("listing_id", "scraping_date", "listing_features.*")
 
 
 _ON = "size <> 13"
@@ -135,50 +135,50 @@ def _if(x: str) -> str:
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('CAST(listing_id % 400 AS INTEGER)')} AS listing_age, {_if('CAST(listing_id % 30 AS INTEGER)')} AS listing_last_update, {_if('listing_id % 3 <> 0')} AS has_parent, {_if('listing_id % 4 <= 1')} AS has_child,
  {_if("CASE size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'privato' ELSE seller_type END")} AS seller_type, {_if('CASE WHEN size % 3 > 0 THEN size % 6 END')} AS number_of_photos FROM listing"""))
 def x2_to_x6_listing_info(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", *(f"listing_info.{c}" for c in ("listing_age", "listing_last_update", "has_parent", "has_child", "seller_type", "number_of_photos")))
+    return _features(spark, sf_dir, "listing_info").select("listing_id", "scraping_date", *(f"listing_info.{c}" for c in ("listing_age", "listing_last_update", "has_parent", "has_child", "seller_type", "number_of_photos")))
 
 
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('mortgage_rate')} AS mortgage_rate, {_if('price')} AS price, {_if('surface')} AS total_surface, {_if(half_even('price / surface', 2))} AS price_per_sq_mt FROM listing"""))
 def x1_x7_x8_price(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", "additional_costs.mortgage_rate", "price", "total_surface", "price_per_sq_mt")
+    return _features(spark, sf_dir, "additional_costs", "price", "total_surface", "price_per_sq_mt").select("listing_id", "scraping_date", "additional_costs.mortgage_rate", "price", "total_surface", "price_per_sq_mt")
 
 
 @query(sql(""" SELECT listing_id, scraping_date, element_name, CAST(size % 4 + k AS VARCHAR) AS floor, CAST(size + k AS DOUBLE) + 0.5 AS surface, CAST(100 AS DOUBLE) AS percentage
 FROM listing, (VALUES ('Abitazione', 2), ('Box', 1)) e(element_name, k) WHERE size <> 13"""))
 def x9_surface_composition(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", F.explode("surface_composition").alias("element_name", "e")).select("listing_id", "scraping_date", "element_name", "e.floor", "e.surface", "e.percentage")
+    return _features(spark, sf_dir, "surface_composition").select("listing_id", "scraping_date", F.explode("surface_composition").alias("element_name", "e")).select("listing_id", "scraping_date", "element_name", "e.floor", "e.surface", "e.percentage")
 
 
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('lower(type_of_property)')} AS class, {_if('lower(category_name)')} AS category, {_if('size % 3 = 0')} AS is_luxury, {_if('lower(condition)')} AS condition,
  {_if('CASE WHEN size % 4 = 0 THEN 4 ELSE size % 4 END')} AS bathrooms_number, {_if('CASE WHEN size % 5 = 0 THEN 6 ELSE size % 5 END')} AS bedrooms_number, {_if('CASE WHEN size % 6 = 0 THEN 6 ELSE size % 6 END')} AS total_room_number,
  {_if("'kitchen eat-in'")} AS kitchen_status, {_if('size % 10')} AS property_floor FROM listing"""))
 def x10_x11_x12_rooms(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", "type_of_property.*", "condition", *(f"rooms_info.{c}" for c in ("bathrooms_number", "bedrooms_number", "total_room_number", "kitchen_status", "property_floor")))
+    return _features(spark, sf_dir, "type_of_property", "condition", "rooms_info").select("listing_id", "scraping_date", "type_of_property.*", "condition", *(f"rooms_info.{c}" for c in ("bathrooms_number", "bedrooms_number", "total_room_number", "kitchen_status", "property_floor")))
 
 
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('size % 2 = 0')} AS is_zero_energy_building, {_if('energy_class')} AS energy_class, {_if('size + 0.25')}::DOUBLE AS energy_consumption, {_if('latitude')} AS latitude, {_if('longitude')} AS longitude,
  {_if("replace(lower(region), ' ', '-')")} AS region, {_if("replace(lower(province), ' ', '-')")} AS province, {_if('substr(province, 1, 2)')} AS province_code FROM listing"""))
 def x13_x14_energy_location(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", *(f"energy_info.{c}" for c in ("is_zero_energy_building", "energy_class", "energy_consumption")), *(f"location_info.{c}" for c in ("latitude", "longitude", "region", "province", "province_code")))
+    return _features(spark, sf_dir, "energy_info", "location_info").select("listing_id", "scraping_date", *(f"energy_info.{c}" for c in ("is_zero_energy_building", "energy_class", "energy_consumption")), *(f"location_info.{c}" for c in ("latitude", "longitude", "region", "province", "province_code")))
 
 
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('size % 2 = 1')} AS has_elevator, {_if('building_year')} AS building_year, {_if('size % 8 + 1')} AS total_building_floors, {_if('size')} AS total_number_of_residential_units,
  {_if("CAST(CAST(scraping_date - INTERVAL 100 DAY AS DATE) AS VARCHAR)")} AS work_start_date, {_if("CAST(CAST(scraping_date + INTERVAL 300 DAY AS DATE) AS VARCHAR)")} AS work_end_date, {_if('CAST(0.25 AS DOUBLE)')} AS work_completion FROM listing"""))
 def x15_building(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", *(f"building_info.{c}" for c in ("has_elevator", "building_year", "total_building_floors", "total_number_of_residential_units", "work_start_date", "work_end_date", "work_completion")))
+    return _features(spark, sf_dir, "building_info").select("listing_id", "scraping_date", *(f"building_info.{c}" for c in ("has_elevator", "building_year", "total_building_floors", "total_number_of_residential_units", "work_start_date", "work_end_date", "work_completion")))
 
 
 @query(sql("""SELECT listing_id, scraping_date, CASE WHEN a THEN strftime(scraping_date + INTERVAL 60 DAY, '%d/%m/%Y') END AS auction_end_date, CASE WHEN a THEN true END AS is_open, CASE WHEN a THEN CAST(trunc(price) AS DOUBLE) END AS minimum_offer,
  CASE WHEN a THEN size END AS lot_id, CASE WHEN size <> 13 THEN CAST(size AS VARCHAR) END AS cadastral FROM (SELECT *, listing_type = 'auction' AND size <> 13 AS a FROM listing)"""))
 def x16_x17_auction_cadastral(spark, sf_dir):
-    return _features(spark, sf_dir).select("listing_id", "scraping_date", "auction_info.auction_end_date", "auction_info.is_open", "auction_info.minimum_offer", F.col("auction_info.lot_category.id").alias("lot_id"), "cadastral_info.cadastral")
+    return _features(spark, sf_dir, "auction_info", "cadastral_info").select("listing_id", "scraping_date", "auction_info.auction_end_date", "auction_info.is_open", "auction_info.minimum_offer", F.col("auction_info.lot_category.id").alias("lot_id"), "cadastral_info.cadastral")
 
 
 @query(sql("""SELECT listing_id, scraping_date, CASE WHEN size <> 13 THEN type_of_property END AS title, CASE WHEN size <> 13 THEN 'caption ' || type_of_property END AS caption, CASE WHEN size <> 13 THEN feature_text END AS description, size = 13 AS no_features FROM listing"""))
 def x18_x19_d7_texts(spark, sf_dir):
     from ..operators.quality import clean_fields
 
-    df = extract.features(b.listing_pages(spark, sf_dir))
+    df = extract.features(b.listing_pages(spark, sf_dir), only=["text_info"])
     df = clean_fields(df.select("listing_id", "scraping_date", F.col("listing_features").isNull().alias("no_features"), "listing_features.text_info"))
     return df.select("listing_id", "scraping_date", "text_info.*", "no_features")
 
@@ -187,7 +187,7 @@ def flagship(spark, sf_dir):
     """Median price per square metre by region from raw pages, latest snapshot of each listing."""
     from ..operators.quality import latest
 
-    df = _features(spark, sf_dir).select("listing_id", "scraping_date", "location_info.region", "price_per_sq_mt")
+    df = _features(spark, sf_dir, "price_per_sq_mt", "location_info").select("listing_id", "scraping_date", "location_info.region", "price_per_sq_mt")
     return latest(df).where("region is not null").groupBy("region").agg(F.count("price_per_sq_mt").alias("n"), F.round(F.percentile("price_per_sq_mt", 0.5), 4).alias("median_price_per_sq_mt"))
 
 

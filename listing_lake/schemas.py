@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: The payload's first listing, as far as features are read from it. Loosely typed leaves are text.
-PROPERTY = """struct<
+PROPERTY = """
  lastUpdate: string, multimedia: struct<photos: array<string>>, price: struct<value: double>,
  costs: struct<condominiumExpenses: string, heatingExpenses: string>, surface: string, surfaceValue: string,
  surfaceConstitution: struct<surfaceConstitutionElements: array<struct<constitution: string, floor: struct<value: string>,
@@ -18,12 +18,12 @@ PROPERTY = """struct<
  workDates: string, workProgress: string,
  auction: struct<saleDateValue: string, modalityDeposit: string, saleType: string, saleState: struct<isAvailable: boolean>,
   minimumOffer: string, procedureNumber: string, auctionCourt: string, lotCategory: struct<id: int, name: string>>,
- cadastrals: array<struct<cadastral: string, cadastralInfo: string, subCadastral: string>>, caption: string, description: string>"""
+ cadastrals: array<struct<cadastral: string, cadastralInfo: string, subCadastral: string>>, caption: string, description: string"""
 
-PAYLOAD = f"""struct<props: struct<pageProps: struct<detailData: struct<realEstate: struct<
+#: The payload's listing (props.pageProps.detailData.realEstate) without its properties.
+REAL_ESTATE = """
  createdAt: bigint, isNew: boolean, luxury: boolean, title: string, advertiser: struct<agency: struct<label: string>>,
- mortgage: struct<mortgageWidget: struct<rates: array<struct<percent: int, rates: array<struct<year: int, rate: double>>>>>>,
- properties: array<{PROPERTY}>>>>>>"""
+ mortgage: struct<mortgageWidget: struct<rates: array<struct<percent: int, rates: array<struct<year: int, rate: double>>>>>>"""
 
 RAW_SNAPSHOTS = """listing_id bigint, listing_type string, province_name string, province_code string, parent_listing bigint,
  child_listings array<bigint>, data array<struct<html_source: string, scraping_date: string>>"""

@@ -1,4 +1,4 @@
-"""A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset."""
+"""Folders that all executors see, below spark.checkpoint.dir, and tables that are derived once for each state of their source."""
 
 from __future__ import annotations
 
@@ -9,21 +9,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[tuple[str, str, str], str] = {}
+_MADE: dict[tuple, str] = {}
 
 
-def folder(spark: SparkSession, name: str) -> str:
+def base_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(made := "file://" + tempfile.mkdtemp(prefix="scratch-"))
+    return made
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name."""
+    return posixpath.join(base_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, bytes, time of change) of every file below a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from the tables at `source`, written the first time that an application asks for it.
 
-    Later queries of the same application read what is there; where it is gone it is made again.
+    Later queries read what is there as long as the source's files are the same; else it is made again.
     """
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, files_of(spark, source))
     if key not in _MADE or not exists(spark, _MADE[key]):
         path = folder(spark, name)
         make().write.parquet(path)
