@@ -10,8 +10,8 @@ whole text.
 The index: examples lie in blocks; each term has its postings, its largest weight, and the largest in each block that
 has it. A query's terms are traversed from the largest bound (its weight times the term's largest) on. When the
 k-th best sum so far is known, only examples can still come in whose sum plus their block's bound on the terms left
-reaches it; when these are few, they are probed by their own vectors. So the k neighbours are exact (ties: smaller
-example number). A neighbour at cosine c votes with weight 1 / (1 - c + spread); `prior_votes` of the share of toxic
+reaches it; when these are few, they are probed by their own vectors, else the other postings are traversed as well.
+Lists of very frequent terms are full arrays. So the k neighbours are exact (ties: smaller example number). A neighbour at cosine c votes with weight 1 / (1 - c + spread); `prior_votes` of the share of toxic
 examples are added, which also is the score of a text without known terms. Scores are shares of votes, between 0 and 1.
 
 Rows: null texts are empty ones and score the prior; null ids and repeated rows stay; labelled rows whose document is
@@ -22,12 +22,12 @@ score is 0. Columns of other names stay as they are. A text of any length is tak
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import texts_of
 
-_WORD = regex.compile(r"\p{L}+")
+_WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD_OUT, REJECT = 4, 2, 0.3
-FIRST_POSTINGS, GROWTH = 4096, 4
+FIRST_POSTINGS, FULL = 4096, 16  # a term of a sixteenth of all examples has a full list, with zeros
+SLACK = 4e-6  # more than the last digits of sums in single precision; what is kept is summed again in double
 
 
 def counts_of(text: str) -> Counter:
@@ -48,7 +49,7 @@ def counts_of(text: str) -> Counter:
 class Index:
     """Examples as sparse rows of unit length, their postings by term, and the largest weights by term and block.
 
-    Examples' weights are kept in single precision, sums are in double.
+    Examples' weights are kept in single precision, cosines are summed in double.
     """
 
     terms: dict[str, int]
@@ -87,6 +88,12 @@ class Index:
         self.most = np.zeros(n_terms)
         np.maximum.at(self.most, self.cols, self.values)
         self.row_length = len(self.cols) / max(len(self.ids), 1)
+        often = np.flatnonzero(np.diff(self.ends) * FULL > len(self.ids))
+        self.full = np.zeros((len(often), len(self.ids)), np.float32)
+        self.full_of = np.full(n_terms, -1)
+        self.full_of[often] = np.arange(len(often))
+        at = self.full_of[self.cols] >= 0
+        self.full[self.full_of[self.cols[at]], self.rows[at]] = self.values[at]
         self.scratch = np.zeros(n_terms)  # one query by term, empty between calls
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +113,25 @@ class Index:
         at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
         return np.bincount(np.repeat(np.arange(len(examples)), n), self.values[at].astype(np.float64) * query[self.cols[at]], len(examples))
 
+    def _traversed(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, work: dict | None) -> np.ndarray:
+        """Each example's sum over some terms."""
+        full = self.full_of[terms]
+        some = full < 0
+        lists = [slice(self.ends[t], self.ends[t + 1]) for t in terms[some].tolist()]
+        sums = np.zeros(len(self.ids))
+        if lists:
+            found = np.concatenate([self.posted[x] for x in lists])
+            sums += np.bincount(found, np.concatenate([self.posted_values[x] for x in lists]) * np.repeat(weights[some], lengths[some]), len(self.ids))
+        if not some.all():
+            sums += weights[~some].astype(np.float32) @ self.full[full[~some]]
+        if work is not None:
+            work["postings"] = work.get("postings", 0) + int(lengths.sum())
+        return sums
+
+    def _least(self, sums: np.ndarray) -> float:
+        """The k-th best sum."""
+        return float(np.partition(sums, len(sums) - self.k)[len(sums) - self.k]) if len(sums) > self.k else 0.0
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, work: dict | None = None) -> list[tuple[int, float]]:
         """The k examples of highest cosine over zero, with the cosine. work, if given, counts postings and probes."""
         n = len(self.ids)
@@ -113,27 +139,26 @@ class Index:
             return []
         order = np.argsort(-weights * self.most[terms], kind="stable")
         terms, weights = terms[order], weights[order]
-        lists = [slice(a, b) for a, b in zip(self.ends[terms].tolist(), self.ends[terms + 1].tolist(), strict=True)]
         lengths = self.ends[terms + 1] - self.ends[terms]
         upto = np.cumsum(lengths)
-        sums, done, step, whole = np.zeros(n), 0, FIRST_POSTINGS, False
-        while not whole:
-            # essential terms: those with the largest bounds, more until few examples are left
-            to = max(done + 1, int(np.searchsorted(upto, step, "right")))
-            mine = lists[done:to]
-            found = np.concatenate([self.posted[x] for x in mine])
-            sums += np.bincount(found, np.concatenate([self.posted_values[x] for x in mine]) * np.repeat(weights[done:to], lengths[done:to]), n)
-            if work is not None:
-                work["postings"] = work.get("postings", 0) + len(found)
-            done, step, whole = to, GROWTH * step, to >= len(terms)
-            least = np.partition(sums, n - self.k)[n - self.k] if n > self.k else 0.0
-            near = np.flatnonzero(sums >= least - 1e-9 if least > 0 else sums > 0)
-            if not whole and least > 0:
-                blocks = [slice(a, b) for a, b in zip(self.block_ends[terms[done:]].tolist(), self.block_ends[terms[done:] + 1].tolist(), strict=True)]
-                bounds = np.concatenate([self.block_most[x] for x in blocks]) * np.repeat(weights[done:], [x.stop - x.start for x in blocks])
-                bound = np.bincount(np.concatenate([self.block[x] for x in blocks]), bounds, self.blocks)
-                near = np.flatnonzero(sums + np.repeat(bound, self.size)[:n] >= least - 1e-9)
-                whole = len(near) * self.row_length <= upto[-1] - upto[done - 1]  # probing them costs less than the other postings
+        # essential terms: those with the largest bounds
+        essential = max(1, int(np.searchsorted(upto, FIRST_POSTINGS, "right")))
+        sums = self._traversed(terms[:essential], weights[:essential], lengths[:essential], work)
+        least = self._least(sums)
+        near = None
+        if (weights[essential:] * self.most[terms[essential:]]).sum() < 2 * least:  # else no block is out of reach
+            rest = terms[essential:].tolist()
+            blocks = [slice(self.block_ends[t], self.block_ends[t + 1]) for t in rest] or [slice(0, 0)]
+            bounds = np.concatenate([self.block_most[x] for x in blocks]) * np.repeat(weights[essential:], [x.stop - x.start for x in blocks][: len(rest)])
+            bound = np.bincount(np.concatenate([self.block[x] for x in blocks]), bounds, self.blocks)
+            near = np.flatnonzero(sums + np.repeat(bound, self.size)[:n] >= least - SLACK)
+            if len(near) * self.row_length > upto[-1] - upto[essential - 1]:
+                near = None  # probing them would cost more than the other postings
+        if near is None:
+            if essential < len(terms):
+                sums += self._traversed(terms[essential:], weights[essential:], lengths[essential:], work)
+            least = self._least(sums)
+            near = np.flatnonzero(sums >= least - SLACK if least > SLACK else sums > 0)
         if work is not None:
             work["probed"] = work.get("probed", 0) + len(near)
         self.scratch[terms] = weights
