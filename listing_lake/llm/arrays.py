@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+_K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,6 +27,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,)) if len(data) >= 8 else np.zeros(0, "<u8")
+
+
+def stirred(h: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes that have taken in the k-th eight bytes: one-to-one in these as well as in the hash before."""
+    h = (h ^ w) * _K[k % 3]
+    h ^= h >> np.uint64(29 + k % 5)
+    return h
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each key, by its scrambled upper half."""
     return ((mix(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)

@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped by workers.
 
 Tokens are words (A-Z lower-cased, cut at ASCII white space) as 64-bit hashes, then one end of text; the first
-token's context is the start of text. Tasks count distinct tokens and bigrams of a batch before the shuffle and send
+token's context is the start of text. Two words of a corpus share a hash by chance only, once in some billions of
+different words; counts have 64 bits. Tasks count distinct tokens and bigrams of a batch before the shuffle and send
 them as packed arrays, dealt by hash into shards of bounded size. A shard of bigrams holds whole contexts, so it has
 all that a context's discounts and back-off weight need; contexts with very many tokens are spread over all shards
 and added up in a last step. Scoring maps the shards' arrays and looks a batch's distinct bigrams up by binary search.
@@ -11,8 +12,9 @@ same way over the uniform distribution of the vocabulary and one unknown word. D
 from counts of counts, by order; a discount that these can't give (a zero count of counts) is half its count.
 
 The order is two: with three the distinct trigrams (80 % of all tokens on the test documents) would not fit the disk
-the check tool allows. Rows: a null or empty text is its end alone; null ids and repeated rows are scored each; with
-nothing to learn from, every token has the probability of an unknown word, one.
+the check tool allows. Rows: a null or empty text is its end alone; null ids and repeated rows are scored each and
+learned each; with nothing to learn from, every token has the probability of an unknown word, one. A text of any
+length is taken whole, in arrays of about a hundred bytes for each of its bytes. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,40 +22,48 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, common
 
 START, END = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0xC2B2AE3D27D4EB4F)
-_R = np.uint64(0x2545F4914F6CDD1D)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 BATCH = 2 << 20
 FOLDS, HELD_OUT = 5, 1
 
 
-def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  one table for each worker
-    have = cache.get(int(base))
-    if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 20), np.uint64)
-        have[1:] = base
-        cache[int(base)] = have = np.multiply.accumulate(have)
-    return have[:n]
+def word_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray, long: int = 256) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; of longer words than `long` bytes the rest by xxh3.
+
+    data must go on for eight bytes after the last word. Every step is one-to-one in what it takes in.
+    """
+    w, h = arrays.words(data), size.astype(np.uint64)
+    left, k = np.arange(len(first)), 0
+    while len(left) and 8 * k < long:
+        rest = np.minimum(size[left] - 8 * k, 8)
+        mine = w[first[left] + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * rest).astype(np.uint64))
+        h[left] = arrays.stirred(h[left], mine, k)
+        k += 1
+        left = left[size[left] > 8 * k]
+    for i in left.tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[first[i] + 8 * k : first[i] + size[i]].tobytes()))
+    return arrays.mix(h)
 
 
 def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text) of the tokens of some texts, end of text included, in order; the hash is of a word's bytes."""
     lo, hi = int(ends[0]), int(ends[-1])
     data, ends = data[lo:hi], ends - lo
-    low = np.where((data >= 65) & (data <= 90), data | 32, data)
+    n = len(data)
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = np.where((data >= 65) & (data <= 90), data | 32, data)
     word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(n + 1, bool)
     edge[ends] = True
-    starts = np.nonzero(word & (np.append(True, ~word[:-1]) | edge[:-1]))[0] if len(data) else np.zeros(0, np.int64)
-    stops = np.nonzero(word & (np.append(~word[1:], True) | edge[1:]))[0] + 1 if len(data) else np.zeros(0, np.int64)
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_R, len(data)), out=h[1:])
-    hashes = arrays.mix((h[stops] - h[starts]) * _powers(_R_INVERSE, len(data) + 1)[starts] + (stops - starts).astype(np.uint64))
+    starts = np.nonzero(word & (np.append(True, ~word[:-1]) | edge[:-1]))[0] if n else np.zeros(0, np.int64)
+    stops = np.nonzero(word & (np.append(~word[1:], True) | edge[1:]))[0] + 1 if n else np.zeros(0, np.int64)
+    hashes = word_hashes(low, starts, stops - starts)
     text = np.searchsorted(ends, starts, "right") - 1
     n = len(ends) - 1
     at = np.searchsorted(text, np.arange(n), "right")  # an end after each text's words
@@ -93,7 +103,7 @@ def _send_pairs(n_shards: int, shard: np.ndarray, u: np.ndarray, w: np.ndarray,
     order = np.lexsort((w, u, shard))
     shard, u, w, n = shard[order], u[order], w[order], n[order]
     starts = arrays.heads(u, w, shard)
-    shard, u, w, n = shard[starts], u[starts], w[starts], np.minimum(np.add.reduceat(n, starts), 2**32 - 1).astype("<u4")
+    shard, u, w, n = shard[starts], u[starts], w[starts], np.add.reduceat(n, starts).astype("<u4")  # of some million tokens
     cuts = np.searchsorted(shard, np.arange(n_shards + 1)).tolist()
     out = []
     for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -200,7 +210,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
 
     def store_words(key, rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = arrays.summed(_join(rows["keys"], "<u8"), _join(rows["n"], "<u4"))
-        arrays.write(folder, "word", int(key[0]), keys, count=n)
+        arrays.write(folder, "word", int(key[0]), keys, count=arrays.small(n))
         top = np.argsort(-n, kind="stable")[: 4 * shards]
         top = top[n[top] > 10_000]
         return pd.DataFrame({"n": [int(n.sum())], "v": [len(keys)], "hot": [keys[top].tobytes()], "hot_n": [n[top].astype("<i8").tobytes()]})
@@ -233,7 +243,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
         shard = int(key[0])
         names = pair(u, w)
         order = np.argsort(names)
-        arrays.write(folder, "pair", shard, names[order], n=np.minimum(n, 2**32 - 1)[order].astype("<u4"))
+        arrays.write(folder, "pair", shard, names[order], n=arrays.small(n[order]))
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
         heads = arrays.heads(u)
         facts = [np.add.reduceat(x, heads) for x in (n, *((_classes(n) == c).astype(np.int64) for c in (1, 2, 3)))]
@@ -251,7 +261,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_p
 
     def store_low(key, rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = arrays.summed(np.concatenate([np.frombuffer(x[0], "<u8") for x in rows["blobs"]]), np.concatenate([np.frombuffer(x[1], "<u4") for x in rows["blobs"]]))
-        arrays.write(folder, "low", int(key[0]), keys, contexts=n.astype("<u4"))
+        arrays.write(folder, "low", int(key[0]), keys, contexts=arrays.small(n))
         c = np.bincount(np.minimum(n, 5), minlength=6)
         return pd.DataFrame({"types": [int(n.sum())], "of_counts": [c[1:5].tolist()], "over": [[int((_classes(n) == k).sum()) for k in (1, 2, 3)]]})
 
