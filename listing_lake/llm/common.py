@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,29 +24,41 @@ try:
     _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
 except (OSError, AttributeError):  # another C library
     _LIBC = None
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT = Path(__file__).resolve().parents[2]
+_SHARED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; Python workers get this package's folder on their path."""
+    """One of the driver's tables."""
     share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def share_code(spark: SparkSession) -> None:
-    """Workers find this package; texts are long, so an Arrow batch holds fewer rows than by default."""
+    """This package's modules go to the workers with the job, once for each application.
+
+    Texts are long: an Arrow batch's default of 10,000 rows becomes 1,000 in this session. Another value stays.
+    """
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
+    sc = spark.sparkContext
+    if sc.applicationId in _SHARED:
+        return
+    path = os.path.join(sc._temp_dir, "listing_lake_code.zip")  # the driver's own folder, from which Spark serves files
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted((ROOT / "listing_lake").rglob("*.py")):
+            z.write(file, file.relative_to(ROOT))
+    sc.addPyFile(path)
+    _SHARED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset: in local mode, as in tests, a temporary one, else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -116,12 +129,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def appended(batch: pa.RecordBatch, n: int, **columns: pa.Array) -> pa.RecordBatch:
+def appended(batch: pa.RecordBatch, n: int, /, **columns: pa.Array) -> pa.RecordBatch:
     """The first n columns of a batch with some more."""
     return pa.RecordBatch.from_arrays([*batch.columns[:n], *columns.values()], names=[*batch.schema.names[:n], *columns])
 
 
-def widened(docs: DataFrame, **kinds: str):
+def widened(docs: DataFrame, /, **kinds: str):
     """The table's schema with some more columns."""
     from pyspark.sql import types as T
 
@@ -145,18 +158,23 @@ def tuned_groups(n_rows: int, per_group: int) -> int:
     return max(1, -(-n_rows // per_group))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
     """Connected components of an edge table by alternating large-star and small-star rounds.
 
-    Returns (node, component): component is the smallest node reachable. Each round cuts its lineage in the
-    shared folder; only two counters reach the driver. Hub nodes are handled by a map-side minimum and a join,
-    so no neighbour list is ever collected. An empty edge table has no components.
+    Returns (node, component): component is the smallest node reachable. A round keeps what is connected; the rounds
+    end when the edges are stars, each node but the roots with one edge, to a root, which is checked on the edges
+    themselves. If they aren't after `most_rounds`, an error is raised. Each round cuts its lineage in the shared
+    folder; only a flag reaches the driver. Hub nodes are handled by a map-side minimum and a join, so no neighbour
+    list is ever collected. An empty edge table has no components; edges with a null end and loops count for nothing.
     """
     kind = edges.schema[a].dataType
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = cut(now.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
-    seen = None
     for _ in range(most_rounds):
+        several = now.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+        onward = now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("v")
+        if not several.union(onward).limit(1).count():
+            break
         both = now.select("v", "u").unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -164,9 +182,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = cut(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
-        if state == seen:
-            break
-        seen = state
+    else:
+        raise RuntimeError(f"components aren't found after {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots).select(F.col("node").cast(kind), F.col("component").cast(kind))
+    found = now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
+    return found.select(F.col("node").cast(kind), F.col("component").cast(kind))

@@ -99,20 +99,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with their columns as they are, of which each group keeps the one with the smallest id.
+    """The documents, with their columns as they are, of which each group keeps one with the smallest id.
 
-    Groups are by five words and a similarity of 0.8 (`shingledup`); three bits would lose most of such pairs.
-    Of rows with the same id the one with the smallest text stays; rows with a null id all stay.
+    Groups are by five words and a similarity of 0.8 (`shingledup`); three bits would lose most of such pairs. Rows
+    with one id whose texts are unlike are in different groups and stay; of equal rows, or like ones with that id,
+    one stays. Rows with a null id all stay.
     """
     from . import shingledup
 
-    found = shingledup.near_duplicates(docs, id_col, text_col).where("id is not null").groupBy("id").agg(F.min("component").alias("component"))
-    name = common.free_name(docs, "keep_id")
-    kept = found.where("id = component").select(F.col("id").alias(name))
-    place = common.free_name(docs, "place")
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name)).drop(name)
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    return known.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place).unionByName(docs.where(F.col(id_col).isNull()))
+    found = shingledup.near_duplicates(docs, id_col, text_col).where("id is not null")
+    kept = found.groupBy("cluster").agg(F.min(F.struct("id", "key")).alias("k"))  # of each group one id and text
+    names = {c: common.free_name(docs, c) for c in ("keep_id", "keep_key", "own_key", "place")}
+    kept = kept.select(F.col("k.id").alias(names["keep_id"]), F.col("k.key").alias(names["keep_key"])).distinct()
+    own = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    known = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(names["own_key"], own)
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(names["keep_id"])) & (F.col(names["own_key"]) == F.col(names["keep_key"]))
+    known = known.join(kept, same)
+    order = Window.partitionBy(names["keep_id"], names["keep_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    known = known.withColumn(names["place"], F.row_number().over(order)).where(F.col(names["place"]) == 1)
+    return known.drop(*names.values()).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,71 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.filtered(spark.createDataFrame([], "page_id long, url string, html string"), urlfilter.RULES).count() == 0
 
 
+def brute_ranks(seeds, edges, damping=0.85, rounds=200):
+    """Personalised PageRank by hand: mass on hosts without outgoing edges is lost."""
+    total = sum(seeds.values())
+    base = {h: n / total for h, n in seeds.items()} if total else {}
+    out = Counter()
+    for (u, _), n in edges.items():
+        out[u] += n
+    now = dict(base)
+    for _ in range(rounds if edges else 0):
+        new = Counter({h: (1 - damping) * m for h, m in base.items()})
+        for (u, v), n in edges.items():
+            new[v] += damping * now.get(u, 0.0) * n / out[u]
+        now = dict(new)
+    return now
+
+
+def test_url_ranks_equal_brute_force(spark):
+    rng = np.random.default_rng(14)
+    hosts = [f"h{i}.{'net' if i % 7 == 0 else 'example.net' if i % 5 == 0 else 'com'}" for i in range(40)]
+    pages, edges, seeds = [], Counter(), (Counter(), Counter())
+    for i in range(400):
+        h = hosts[int(rng.integers(0, 40)) if i % 3 else 0]  # a third of all pages on one host
+        path = "/en/" if "example" in h else "/"
+        links = sorted({hosts[j] for j in rng.integers(0, 40, 3)})
+        html = "x" * 200_000 * (i == 5) + "".join(f"<a class=k href='https://{x.upper()}/p{i}'>" for x in links)
+        pages.append((i // 2, f"http://{h}{path}{i}", html, 7, "t", 1.5, "v", "r"))
+        edges.update((h, x) for x in links if x != h)
+        seeds[0][h] += "example.net" in h
+        seeds[1][h] += h.endswith(".net") and "example.net" not in h
+    schema = "page_id long, url string, html string, host int, host2 string, trust double, verdict string, rule string"
+    frame = spark.createDataFrame([*pages, (None, None, None, None, None, None, None, None)], schema)
+    got = urlfilter.filtered(frame, urlfilter.RULES, tolerance=1e-9).collect()
+    assert len(got) == 401
+    trust = brute_ranks({h: n for h, n in seeds[0].items() if n}, edges)
+    distrust = brute_ranks({h: n for h, n in seeds[1].items() if n}, Counter({(v, u): n for (u, v), n in edges.items()}))
+    for r in got:
+        if r.url is None:
+            assert (r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow")
+            continue
+        t, d = trust.get(r.host, 0.0), distrust.get(r.host, 0.0)
+        assert math.isclose(r.trust or 0.0, t, abs_tol=1e-7) and math.isclose(r.distrust or 0.0, d, abs_tol=1e-7)
+        ruled = "allow" if "example.net" in r.host else "block" if r.host.endswith(".net") else None
+        assert r.verdict == (ruled or ("block" if d > 0.5 * (t + d) else "allow")) and r.host2 == "t"
+    assert {r.verdict for r in got if r.host.endswith(".com")} == {"allow", "block"}
+
+
+def test_words_of_a_language_model_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):  # a word and its complement, which hashes by powers of a number can't tell apart
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, "x" * 300, "x" * 299 + "y", "x" * 299, "ab", "ba", "abcdefgh", "abcdefghi", "abcdefgh i", "", "a\x00", "a"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes, of = lm.tokens(data, np.cumsum([0, *map(len, texts)]))
+    named = {}
+    for h, w in zip(hashes.tolist(), [w for t in texts for w in [*t.split(), None]], strict=True):
+        assert named.setdefault(h, w) == w
+    assert len(named) == len({w for t in texts for w in t.split()}) + 1
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, None, None])]
+    model = lm.fit(docs(spark, [(1, word), (1, word), (2, other)]), bytes_per_shard=500)
+    got = {r.id: r for r in lm.scored(docs(spark, rows), model).collect()}
+    assert (model.n, model.v) == (6, 3) and got[0].score > got[1].score and got[2].n_known == 1
+    assert {got[i].score for i in (10, 23, 26, 27)} == {got[10].score}
+
+
 def vectors(spark, x, extra=()):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + list(extra)
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -401,7 +466,7 @@ def test_vector_near_duplicates(spark):
         x[i + 1] = x[i] + rng.normal(0, 0.12, 8)
     x[310:330], x[331], x[340] = x[310], x[310] * 3, 0
     frame = vectors(spark, x, BAD)
-    got = {r.id: r for r in vectordup.near_duplicates(frame, tile=64).collect()}
+    got = {r.id: r for r in vectordup.near_duplicates(frame, block=64, tile=16).collect()}
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
     near = u @ u.T >= 0.95
@@ -412,6 +477,14 @@ def test_vector_near_duplicates(spark):
     assert vectordup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_vectors_of_any_scale_and_repeated_ids(spark):
+    tiny, huge = [1e-200, 1e-200, 2e-200, 0.0], [1e200, 1e200, 2e200, 0.0]
+    rows = [(1, tiny), (2, huge), (3, [1.0, 1.0, 2.0, 0.0]), (4, [1.0, 0.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0, 1.0]), (5, [-0.0, 0.0, 0.0, 7.0]), (6, [5e-324, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 1, "x", 2.0) for i, v in rows], "vec_id long, embedding array<double>, n int, key string, block double")
+    got = sorted((r.id, r.n_links, r.component) for r in vectordup.near_duplicates(frame).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 2, 4), (4, 2, 4), (5, 1, 4), (6, 2, 4)]
+
+
 def test_html(spark, table):
     page = (
         '<html><head><title>t</title></head><body><div class="topmenu"><a href=x>Home</a></div><div class="cookie-notice">We use cookies, ok?</div><div id="content"><h2>Title here</h2><p>First para &amp; more,&nbsp;text.'
@@ -458,6 +531,32 @@ def test_pipeline(spark):
     assert ids == {r.doc_id for r in frame.select("doc_id").collect()}
 
 
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (1, say("a")), (2, say("b") + " more"), (2, say("c")), (3, None), (3, ""), (3, say("d")), (None, say("a")), (None, say("a"))]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.without_near_duplicates(docs(spark, rows)).collect()), key=str)
+    assert [t or "" for i, t in kept if i == 3 and not t] == [""]
+    assert [x for x in kept if x[1]] == sorted([(1, say("a")), (1, say("b")), (2, say("c")), (3, say("d")), (None, say("a")), (None, say("a"))], key=str)
+
+
+def test_pipeline_on_odd_tables(spark, monkeypatch):
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, say("a")), (4, say("a")), (4, say("b")), (None, "no id at all"), (5, "é" * 60_000), (5, "é" * 60_000)]
+    frame = spark.createDataFrame([(i, t, "x", 2.0, "p", 3) for i, t in rows], "doc_id long, text string, id string, toxicity double, place string, key int")
+    for table_ in (frame, frame.limit(0)):
+        monkeypatch.setattr(common, "table", lambda spark, sf_dir, name, t=table_: t if name == "documents" else spark.createDataFrame([(3, 0), (None, 1), (4, None)], "doc_id long, toxic int"))
+        out, now = corpus_pipeline.run(spark, SF).collect(), table_
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.cut(stage(spark, now, SF))
+            assert now.columns == table_.columns
+        assert sorted({str(r.doc_id) for r in out}) == sorted({str(r.doc_id) for r in now.collect()})
+        assert (len(out) == 0) == (table_ is not frame)
+    kept = Counter(str(r.doc_id) for r in out) if out else Counter(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect())
+    assert kept == Counter({"1": 1, "3": 1, "4": 1, "5": 1, "None": 1})
+
+
 def brute_groups(rows):
     """Smallest id of each row's group of pairs with a five-word Jaccard similarity of 0.8 or more, by all pairs."""
     sets = []
