@@ -103,9 +103,9 @@ def translated_values(df: DataFrame, column: str, out: str = "translated", rules
 
 
 def conflicts(members: DataFrame, key: str, value: str) -> DataFrame:
-    """values that several members have: the primary (smallest) key and the others."""
-    found = members.groupBy(value).agg(F.min(key).alias("primary"), F.array_sort(F.collect_set(key)).alias("ids")).where(F.size("ids") > 1)
-    return found.select(value, "primary", F.filter("ids", lambda i: i != F.col("primary")).alias("secondary"))
+    """(value, primary, secondary): a row for each further member of a value; the primary is its smallest key."""
+    first = members.groupBy(value).agg(F.min(key).alias("primary"), F.max(key).alias("_last")).where(F.col("primary") != F.col("_last"))
+    return members.join(first.drop("_last"), value).where(F.col(key) != F.col("primary")).select(value, "primary", F.col(key).alias("secondary"))
 
 
 def primary_keys(members: DataFrame, key: str, natural: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,18 @@ def restored(df: DataFrame, scale: DataFrame, columns: Sequence[str], prefix: st
 
 
 def domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, place): each categorical column's values in order."""
+    """(column, value, place): each categorical column's values in order.
+
+    Values are ordered in ranges over all partitions; a value's place is what its range has before it, plus the counts
+    of the ranges before: a row for each partition and column, so no task has all values.
+    """
     parts = (df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")).where("value is not null").distinct() for c in columns)
-    all_ = reduce(lambda a, b: a.union(b), parts)
-    return all_.withColumn("place", F.row_number().over(Window.partitionBy("column_name").orderBy("value")))
+    all_ = reduce(lambda a, b: a.union(b), parts).orderBy("column_name", "value").withColumn("_p", F.spark_partition_id())
+    before = Window.partitionBy("column_name").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = all_.groupBy("_p", "column_name").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(before))
+    within = all_.withColumn("_w", F.row_number().over(Window.partitionBy("_p", "column_name").orderBy("value")))
+    placed = within.join(F.broadcast(offsets), ["_p", "column_name"])
+    return placed.select("column_name", "value", (F.coalesce("_o", F.lit(0)) + F.col("_w")).cast("int").alias("place"))
 
 
 def seeds(df: DataFrame, n: int, row_id: str, seed: int = 2025) -> DataFrame:
@@ -56,23 +66,59 @@ def numbered(df: DataFrame, order: str, name: str = "_n") -> DataFrame:
     return within.join(F.broadcast(offsets), "_p").withColumn(name, F.coalesce("_o", F.lit(0)) + F.col("_w")).drop("_p", "_c", "_o", "_w")
 
 
-def neighbours(queries: DataFrame, data: DataFrame, vector: str, k: int = 5, query_id: str = "seed_id", row_id: str = "row_id", exclude_self: bool = False, blocks: int | None = None) -> DataFrame:
+def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the k nearest rows of each query, ties to the smaller id.
+
+    A product of matrices tells which rows can be among the k; these distances are then taken term by term.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    norms = (rows * rows).sum(axis=1)
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        own_norms = (q * q).sum(axis=1)
+        near = own_norms[:, None] + norms[None, :] - 2 * (q @ rows.T)
+        slack = 1e-9 * (own_norms[:, None] + norms[None, :] + 1)
+        if own is not None:
+            near[own[at : at + 256, None] == ids[None, :]] = np.inf
+        last = np.partition(near + slack, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(q), np.inf)
+        i, j = np.nonzero((near - slack <= last[:, None]) & (near < np.inf))
+        d2 = ((q[i] - rows[j]) ** 2).sum(axis=1)
+        order = np.lexsort((ids[j], d2, i))
+        i, j, d2 = i[order], j[order], d2[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[keep] + at, j[keep], d2[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def neighbours(
+    queries: DataFrame, data: DataFrame, vector: str, k: int = 5, query_id: str = "seed_id", row_id: str = "row_id", exclude_self: bool = False,
+    rows_per_block: int = 32_768, queries_per_block: int = 4096,
+) -> DataFrame:
     """I4: (query_id, row_id, d2, rank): exact k nearest by squared distance, ties to the smaller id.
 
-    Queries are copied once for each block of data and joined with it by the block number, so a task holds a part of
-    the data; a window keeps k of each query and block before the shuffle, another one k of each query. A stated
-    query set against all rows, in blocks. Both: (id, vector as array<double>).
+    A stated query set against all rows, in blocks: rows and queries are dealt into blocks of bounded size, a task
+    takes one block of each as Arrow columns and leaves k rows for each query, of which a window keeps k at the end.
+    Both: (id, vector as array<double>). Vectors that are null or hold nulls are an error.
     """
-    blocks = blocks or data.sparkSession.sparkContext.defaultParallelism
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    d = data.select(F.col(row_id).alias("_r"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int").alias("_b"))
-    far = F.aggregate(F.zip_with("_a", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(d, "_b").select("_b", "_q", "_r", far.alias("d2"))
-    if exclude_self:
-        pairs = pairs.where("_q <> _r")
-    for part in (["_q", "_b"], ["_q"]):
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("d2", "_r"))).where(F.col("rank") <= k)
-    return pairs.select(F.col("_q").alias(query_id), F.col("_r").alias(row_id), "d2", "rank")
+    blocks = max(1, -(-data.count() // rows_per_block))
+    parts = max(1, -(-queries.count() // queries_per_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v"), dealt(query_id, parts).alias("p"), every(blocks).alias("b"))
+    d = data.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), every(parts).alias("p"), dealt(row_id, blocks).alias("b"))
+    schema = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("d2", pa.float64())])
+    matrix = lambda t: np.concatenate([np.asarray(x.flatten(), float) for x in t.column("v").chunks]).reshape(t.num_rows, -1)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        asked, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
+        i, j, d2 = nearest_rows(matrix(left), matrix(right), ids, asked if exclude_self else None, k)
+        return pa.Table.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(d2)], schema=schema)
+
+    found = q.groupBy("b", "p").cogroup(d.groupBy("b", "p")).applyInArrow(work, "q long, r long, d2 double")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "r"))).where(F.col("rank") <= k)
+    return found.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "d2", "rank")
 
 
 def weighted(near: DataFrame, query_id: str = "seed_id") -> DataFrame:

@@ -77,9 +77,10 @@ def i6_votes(spark, sf_dir):
 
 @query()
 def i7_synthesised(spark, sf_dir):
-    """Synthetic customers, one for a hundred: rows depend on the seed, so tests check their ranges."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("listing_id"), F.col("c_acctbal").alias("price"), F.col("c_nationkey").cast("double").alias("surface"), F.col("c_mktsegment").alias("condition"))
-    return synth.synthesised(c, max(10, c.count() // 100), ["price", "surface"], ["condition"], ["price", "surface"])
+    """As many synthetic customers as there are: rows depend on the seed, so tests check their ranges."""
+    columns = (F.col("c_custkey").alias("listing_id"), F.col("c_acctbal").alias("price"), F.col("c_nationkey").cast("double").alias("surface"))
+    c = table(spark, sf_dir, "customer").select(*columns, F.col("c_mktsegment").alias("condition"))
+    return synth.synthesised(c, c.count(), ["price", "surface"], ["condition"], ["price", "surface"])
 
 
 @query(f"""SELECT p_partkey, {half_even('p_retailprice / 10', 0)} * 10 AS price, greatest(1, least(6, p_size)) AS total_room_number, greatest(1, least(4, p_size)) AS bathrooms_number, greatest(1, least(10, p_size)) AS energy_class, {half_even('p_retailprice / 7')} AS heating_yearly_expenses,
@@ -230,10 +231,14 @@ def j18_residual_bins(spark, sf_dir):
     return model.residual_bins(_linear(spark, sf_dir), -20_000, 20_000, 8)
 
 
-@query()
+@query(sql("""SELECT concat_ws('-', listing_id, scraping_date) AS key, listing_type, region, true AS is_decade
+FROM listing WHERE listing_type <> 'rent' AND price IS NOT NULL AND surface IS NOT NULL"""))
 def j19_dashboard(spark, sf_dir):
+    """The listings that aren't for rent; a predicted rent depends on the forest, but is a whole decade."""
     fitted, rows, _ = _fitted(spark, sf_dir, scratch.folder(spark, "model"))
-    return model.dashboard(fitted, rows).select("predicted_rent", "key", "listing_type", "region")
+    out = model.dashboard(fitted, rows)
+    assert out.columns[0] == "predicted_rent"
+    return out.select("key", "listing_type", "region", F.coalesce(F.col("predicted_rent") % 10 == 0, F.lit(False)).alias("is_decade"))
 
 
 def _summary(x: str) -> str:
@@ -288,6 +293,7 @@ def k6_sql(spark, sf_dir):
     return explore.query(spark, "SELECT r_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1", **frames)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{t}' AS layer, count(*) AS n, true AS has_files FROM {t}" for t in ("lineitem", "orders", "part")))
 def k7_status(spark, sf_dir):
-    return explore.status({t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")})
+    found = explore.status({t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")})
+    return found.select("layer", "n", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("has_files"))

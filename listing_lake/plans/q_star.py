@@ -245,7 +245,8 @@ def f5_translated_values(spark, sf_dir):
 @query(f"SELECT value, count(*) AS ids, min(t) AS first FROM (SELECT DISTINCT p_type AS t, {_TYPE_SQL} AS value FROM part) GROUP BY 1 HAVING count(*) > 1")
 def f6_conflicts(spark, sf_dir):
     members = table(spark, sf_dir, "part").select(F.col("p_type").alias("id")).distinct().withColumn("value", lexicon.translated("id", _TYPES))
-    return lexicon.conflicts(members, "id", "value").select("value", (F.size("secondary") + 1).cast("long").alias("ids"), F.col("primary").alias("first"))
+    found = lexicon.conflicts(members, "id", "value")
+    return found.groupBy("value").agg((F.count("*") + 1).alias("ids"), F.min("primary").alias("first"))
 
 
 @query(f"SELECT type, brand, count(*) AS parts FROM (SELECT {_TYPE_SQL} AS type, p_brand AS brand FROM part) GROUP BY 1, 2")
