@@ -25,6 +25,10 @@ from . import common
 
 #: White space as the tokenizers library's patterns have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Small letters that the tokenizers library has from newer Unicode tables than Python's.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEWER = regex.compile("[" + "".join(map(chr, NEWER)) + "]")
 _NONE = np.int64(1) << 40
 
 
@@ -78,6 +82,7 @@ class Vocabulary:
     def _plain(self, text: str) -> list[str]:
         if self.words_only:
             text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.translate(NEWER) if _NEWER.search(text) else text
             text = text.lower()
         return self.pattern.findall(text)
 
