@@ -107,17 +107,22 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     from . import shingledup
 
-    found = shingledup.near_duplicates(docs, id_col, text_col).where("id is not null")
+    found = common.cut(shingledup.near_duplicates(docs, id_col, text_col).where("id is not null"))
     kept = found.groupBy("cluster").agg(F.min(F.struct("id", "key")).alias("k"))  # of each group one id and text
-    names = {c: common.free_name(docs, c) for c in ("keep_id", "keep_key", "own_key", "place")}
-    kept = kept.select(F.col("k.id").alias(names["keep_id"]), F.col("k.key").alias(names["keep_key"])).distinct()
-    own = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    names = {c: common.free_name(docs, c) for c in ("keep_id", "keep_key", "keep_one", "own_key", "place")}
+    rows = found.groupBy("id", "key").agg((F.count("*") > 1).alias("several"))
+    kept = kept.select("k.id", "k.key").distinct().join(rows, ["id", "key"])
+    kept = common.cut(kept.toDF(names["keep_id"], names["keep_key"], names["keep_one"]))
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     known = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(names["own_key"], own)
     same = (F.col(f"`{id_col}`").cast("long") == F.col(names["keep_id"])) & (F.col(names["own_key"]) == F.col(names["keep_key"]))
-    known = known.join(kept, same)
-    order = Window.partitionBy(names["keep_id"], names["keep_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    known = known.withColumn(names["place"], F.row_number().over(order)).where(F.col(names["place"]) == 1)
-    return known.drop(*names.values()).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    known = known.join(shingledup.checked(kept), same)
+    out = known.where(~F.col(names["keep_one"])).drop(*names.values())
+    if kept.where(F.col(names["keep_one"])).limit(1).count():  # equal rows of one id: one of them
+        order = Window.partitionBy(names["keep_id"], names["keep_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        again = known.where(names["keep_one"]).withColumn(names["place"], F.row_number().over(order)).where(F.col(names["place"]) == 1)
+        out = out.unionByName(again.drop(*names.values()))
+    return out.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
