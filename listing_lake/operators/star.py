@@ -6,6 +6,7 @@ A NULL feature group makes no member and a NULL foreign key; a group of NULL col
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dates, numbers
 from ..functions.numbers import col
-from .keys import duplicates, key, members, orphans
+from .keys import duplicates, key, members, natural, orphans
 
 #: Natural keys of the dimensions by table: (key column, columns).
 DIMENSIONS = {
@@ -38,13 +39,24 @@ DIMENSIONS = {
 }
 
 
-def adjusted_rates(snapshots: DataFrame, rate: str = "mortgage_rate", date: str = "scraping_date", kind: str = "listing_type") -> DataFrame:
-    """Mean rate of sale and auction listings by date; dates without a rate are absent.
+def rate_state(snapshots: DataFrame, rate: str = "mortgage_rate", date: str = "scraping_date", kind: str = "listing_type") -> DataFrame:
+    """E1's state: sum and number of the rates of sale and auction listings by date. States of parts add up to the whole's.
 
-    Rates are added as decimals, so the mean doesn't depend on the order of rows and neither do the keys made of it.
+    Rates are added as decimals, so a sum doesn't depend on the order of rows or on how they are split.
     """
-    exact = F.avg(F.col(rate).cast("decimal(18,9)")).cast("double")
-    return snapshots.where(F.col(kind).isin("sale", "auction") & F.col(rate).isNotNull()).groupBy(date).agg(exact.alias("date_rate"))
+    some = snapshots.where(F.col(kind).isin("sale", "auction") & F.col(rate).isNotNull())
+    return some.groupBy(date).agg(F.sum(F.col(rate).cast("decimal(18,9)")).alias("rate_sum"), F.count("*").alias("rate_count"))
+
+
+def mean_rates(states: DataFrame, date: str = "scraping_date") -> DataFrame:
+    """Mean rate by date from one state or several parts' states; keys are made of it, so it is a decimal's."""
+    mean = F.sum("rate_sum").cast("decimal(28,9)") / F.sum("rate_count").cast("decimal(10,0)")
+    return states.groupBy(date).agg(mean.cast("decimal(22,13)").cast("double").alias("date_rate"))
+
+
+def adjusted_rates(snapshots: DataFrame, rate: str = "mortgage_rate", date: str = "scraping_date", kind: str = "listing_type") -> DataFrame:
+    """Mean rate of sale and auction listings by date; dates without a rate are absent."""
+    return mean_rates(rate_state(snapshots, rate, date, kind), date)
 
 
 def with_payment(snapshots: DataFrame, rates: DataFrame, date: str = "scraping_date") -> DataFrame:
@@ -81,19 +93,28 @@ def categories(df: DataFrame, *sources: Column) -> DataFrame:
     return members(found.where("category_name <> ''"), ["category_name"], "category_id")
 
 
-def normalised(snapshots: DataFrame) -> DataFrame:
+def snapshot_date(column: str = "scraping_date") -> Column:
+    return dates.to_date(F.substring(F.col(column).cast("string"), 1, 10))
+
+
+def normalised(snapshots: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """The columns of all dimensions, with costs. rates: (date_value, date_rate); the snapshots' own means, if None."""
+    return with_costs(plain(snapshots), rates)
+
+
+def plain(snapshots: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """The columns of all dimensions from feature snapshots (listing_id, scraping_date, listing_type, listing_features).
 
-    Decimals are cast before keys are made, so float noise can't split members. Groups that are NULL stay apart from
+    Costs need the dates' mean rates; see with_costs. carry: other columns to keep. Decimals are cast before keys are made, so float noise can't split members. Groups that are NULL stay apart from
     groups of NULLs by a flag (`has_...`).
     """
     f = F.col("listing_features")
     text = lambda c: F.nullif(F.lower(c), F.lit(""))
     rooms, build, en, loc, auc, cad = (f[g] for g in ("rooms_info", "building_info", "energy_info", "location_info", "auction_info", "cadastral_info"))
-    rows = snapshots.where(dates.to_date(F.substring(F.col("scraping_date").cast("string"), 1, 10)).isNotNull())
+    rows = snapshots.where(snapshot_date().isNotNull())
     money = lambda c: numbers.first_number(F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).cast("decimal(10,2)")
     return rows.select(
-        "listing_id", "listing_type", dates.to_date(F.substring(F.col("scraping_date").cast("string"), 1, 10)).alias("date_value"),
+        *carry, "listing_id", "listing_type", snapshot_date().alias("date_value"),
         f["price"].cast("decimal(15,2)").alias("price"), f["total_surface"].cast("decimal(15,2)").alias("surface"), f["price_per_sq_mt"].cast("decimal(15,2)").alias("price_per_sq_mt"),
         text(f["listing_info"]["seller_type"]).alias("seller_type"), f["listing_info"]["listing_age"].alias("listing_age"), f["listing_info"]["listing_last_update"].alias("listing_last_update"), f["listing_info"]["number_of_photos"].alias("number_of_pictures"),
         text(f["availability"]).alias("availability"), F.coalesce(text(f["type_of_property"]["category"]), text(auc["lot_category"]["name"])).alias("category_name"), text(f["type_of_property"]["class"]).alias("type_of_property"), text(f["condition"]).alias("condition"),
@@ -107,26 +128,29 @@ def normalised(snapshots: DataFrame) -> DataFrame:
         loc.isNotNull().alias("has_location"), loc["latitude"].cast("decimal(9,6)").alias("latitude"), loc["longitude"].cast("decimal(9,6)").alias("longitude"), *(text(loc[c]).alias(c) for c in ("region", "province", "province_code", "city", "macrozone", "microzone")),
         cad.isNotNull().alias("has_cadastral"), text(cad["cadastral"]).alias("cadastral"), text(cad["cadastral_additional_info"]).alias("cadastral_additional_info"), text(cad["sub_cadastral_info"]).alias("sub_cadastral_info"),
         f["additional_features"].alias("features"), f["surface_composition"].alias("surfaces"),
-    ).transform(_with_costs)
+    )
 
 
-def _with_costs(rows: DataFrame) -> DataFrame:
-    rates = adjusted_rates(rows.withColumnRenamed("own_rate", "mortgage_rate"), date="date_value")
-    priced = with_payment(rows.withColumnRenamed("own_rate", "mortgage_rate"), rates, "date_value")
+def with_costs(rows: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Rates, payments and the seller type's key, from rows with own_rate."""
+    if rates is None:
+        rates = adjusted_rates(rows, "own_rate", "date_value")
+    priced = with_payment(rows.withColumn("mortgage_rate", F.col("own_rate")), rates, "date_value")
     return priced.withColumns({"mortgage_rate": F.col("resolved_rate").cast("decimal(5,4)"), "monthly_payment": F.col("monthly_payment").cast("decimal(10,2)"), "seller_type_id": F.when(F.col("seller_type").isNotNull(), key("seller_type"))}).drop("resolved_rate")
 
 
+
 _GROUPS = {"dim_rooms_info": "has_rooms", "dim_energy_info": "has_energy", "dim_auction_info": "has_auction", "dim_building_info": "has_building", "dim_location_info": "has_location", "dim_cadastral_info": "has_cadastral"}
 _SINGLE = ("dim_seller_type", "dim_availability", "dim_category", "dim_type_of_property", "dim_condition")
 
 
-def fact_keys() -> dict[str, Column]:
+def fact_keys(space: int | None = None) -> dict[str, Column]:
     """The foreign keys of a fact, computed from its normalised columns."""
     out = {}
     for t, (name, columns) in DIMENSIONS.items():
         if t in ("dim_seller_type", "dim_surface_composition", "dim_features"):
             continue
-        k = key(*columns)
+        k = key(*columns, space=space)
         if t in _SINGLE:
             k = F.when(F.col(columns[0]).isNotNull(), k)
         elif t in _GROUPS:
@@ -135,53 +159,78 @@ def fact_keys() -> dict[str, Column]:
     return out
 
 
-def surfaces(rows: DataFrame) -> DataFrame:
+def surfaces(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """The surface elements of each snapshot."""
     floor = numbers.floor_level("e.value.floor")
-    return rows.select("listing_id", "date_value", F.explode("surfaces").alias("name", "value")).select("listing_id", "date_value", F.struct(F.struct("value.*").alias("value")).alias("e"), F.lower("name").alias("element_name")).select(
-        "listing_id", "date_value", "element_name", floor.alias("element_floor"), *(F.col(f"e.value.{c}").cast("float").alias(n) for c, n in (("surface", "element_surface"), ("percentage", "percentage"), ("commercial_surface", "element_commercial_surface")))
+    of = (*carry, "listing_id", "date_value")
+    return rows.select(*of, F.explode("surfaces").alias("name", "value")).select(*of, F.struct(F.struct("value.*").alias("value")).alias("e"), F.lower("name").alias("element_name")).select(
+        *of, "element_name", floor.alias("element_floor"), *(F.col(f"e.value.{c}").cast("float").alias(n) for c, n in (("surface", "element_surface"), ("percentage", "percentage"), ("commercial_surface", "element_commercial_surface")))
     )
 
 
-def feature_rows(rows: DataFrame, features: str = "features") -> DataFrame:
-    return rows.select("listing_id", "date_value", F.explode(features).alias("f")).select("listing_id", "date_value", F.lower("f").alias("feature_name")).where("feature_name <> ''")
+def feature_rows(rows: DataFrame, features: str = "features", carry: Sequence[str] = ()) -> DataFrame:
+    of = (*carry, "listing_id", "date_value")
+    return rows.select(*of, F.explode(features).alias("f")).select(*of, F.lower("f").alias("feature_name")).where("feature_name <> ''")
+
+
+def dimension(rows: DataFrame, table: str) -> DataFrame:
+    """One dimension table of normalised rows."""
+    name, columns = DIMENSIONS[table]
+    if table == "dim_date":
+        return dates_of(rows, "date_value")
+    if table == "dim_listing_type":
+        return listing_types(rows.sparkSession)
+    if table == "dim_surface_composition":
+        return members(surfaces(rows), columns, name)
+    if table == "dim_features":
+        return members(feature_rows(rows), columns, name)
+    if table == "dim_auction_info":
+        plain = ["deposit_modality" if c == "deposit_modality_hash" else c for c in columns]
+        return rows.where("has_auction").select(*columns, "deposit_modality").distinct().select(key(*columns).alias(name), *plain, "deposit_modality_hash")
+    return members(rows.where(F.col(columns[0]).isNotNull()) if table in _SINGLE else rows.where(_GROUPS[table]) if table in _GROUPS else rows, columns, name)
 
 
 def dimensions(rows: DataFrame) -> dict[str, DataFrame]:
     """All dimension tables of normalised rows."""
-    out = {}
-    for t, (name, columns) in DIMENSIONS.items():
-        if t == "dim_date":
-            out[t] = dates_of(rows, "date_value")
-        elif t == "dim_listing_type":
-            out[t] = listing_types(rows.sparkSession)
-        elif t == "dim_surface_composition":
-            out[t] = members(surfaces(rows), columns, name)
-        elif t == "dim_features":
-            out[t] = members(feature_rows(rows), columns, name)
-        elif t == "dim_auction_info":
-            plain = ["deposit_modality" if c == "deposit_modality_hash" else c for c in columns]
-            out[t] = rows.where("has_auction").select(*columns, "deposit_modality").distinct().select(key(*columns).alias(name), *plain, "deposit_modality_hash")
-        else:
-            some = rows.where(F.col(columns[0]).isNotNull()) if t in _SINGLE else rows.where(_GROUPS[t]) if t in _GROUPS else rows
-            out[t] = members(some, columns, name)
-    return out
+    return {t: dimension(rows, t) for t in DIMENSIONS}
+
 
+def keyed(rows: DataFrame, table: str, k: Column, exceptions: dict[str, DataFrame] | None) -> DataFrame:
+    """The rows with a dimension's key; k, but for members whose key isn't their first hash (a table of few rows)."""
+    name, columns = DIMENSIONS[table]
+    if not exceptions or table not in exceptions:
+        return rows.withColumn(name, k)
+    other = exceptions[table].select(F.col("natural").alias("_n"), F.col("key").alias("_k"))
+    return rows.withColumn("_n", natural(*columns)).join(other, "_n", "left").withColumn(name, F.when(k.isNotNull(), F.coalesce("_k", k))).drop("_n", "_k")
 
-def facts(rows: DataFrame) -> DataFrame:
-    """One row for each listing and date, with its foreign keys; no join is needed."""
-    return rows.select("listing_id", *(k.alias(n) for n, k in fact_keys().items()), "price", "surface", "price_per_sq_mt").dropDuplicates(["listing_id", "date_id"])
 
+def facts(rows: DataFrame, exceptions: dict[str, DataFrame] | None = None, space: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each listing and date, with its foreign keys; no join is needed.
 
-def feature_bridge(rows: DataFrame) -> DataFrame:
+    exceptions: of dimensions with members whose key isn't their first hash, (natural, key). carry: other columns to keep.
+    """
+    found, out = fact_keys(space), rows
+    names = list(found)
+    for table in exceptions or ():
+        if (name := DIMENSIONS[table][0]) in found:
+            out = keyed(out, table, found.pop(name), exceptions)
+    return out.select("listing_id", *(found[n].alias(n) if n in found else F.col(n) for n in names), "price", "surface", "price_per_sq_mt", *carry).dropDuplicates(["listing_id", "date_id"])
+
+
+def feature_bridge(rows: DataFrame, exceptions: dict[str, DataFrame] | None = None, space: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """E14"""
-    return feature_rows(rows).select("listing_id", key("date_value").alias("date_id"), key("feature_name").alias("feature_id")).distinct()
+    return _bridge(feature_rows(rows, carry=carry), "dim_features", exceptions, space, carry)
 
 
-def surface_bridge(rows: DataFrame) -> DataFrame:
+def surface_bridge(rows: DataFrame, exceptions: dict[str, DataFrame] | None = None, space: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """E15"""
-    name, columns = DIMENSIONS["dim_surface_composition"]
-    return surfaces(rows).select("listing_id", key("date_value").alias("date_id"), key(*columns).alias(name)).distinct()
+    return _bridge(surfaces(rows, carry), "dim_surface_composition", exceptions, space, carry)
+
+
+def _bridge(rows: DataFrame, table: str, exceptions: dict[str, DataFrame] | None, space: int | None, carry: Sequence[str]) -> DataFrame:
+    name, columns = DIMENSIONS[table]
+    rows = keyed(keyed(rows, table, key(*columns, space=space), exceptions), "dim_date", key("date_value", space=space), exceptions)
+    return rows.select("listing_id", "date_id", name, *carry).distinct()
 
 
 def load_statistics(tables: dict[str, DataFrame]) -> DataFrame:

@@ -24,9 +24,12 @@ def query(oracle: str | None = None):
 
 def rows_of(spark, sf_dir):
     """Normalised snapshots from pages. Features and normalised rows are written, so no later table parses pages again."""
+    return scratch.once(spark, "snapshots", sf_dir, lambda: star.normalised(features_of(spark, sf_dir)))
+
+
+def features_of(spark, sf_dir):
     columns = ("listing_id", "listing_type", "scraping_date", "listing_features")
-    features = scratch.once(spark, "features", sf_dir, lambda: extract.features(b.listing_pages(spark, sf_dir)).select(*columns))
-    return scratch.once(spark, "snapshots", sf_dir, lambda: star.normalised(features))
+    return scratch.once(spark, "features", sf_dir, lambda: extract.features(b.listing_pages(spark, sf_dir)).select(*columns))
 
 
 @query(sql("SELECT scraping_date, round(avg(mortgage_rate), 9) AS date_rate FROM listing WHERE listing_type <> 'rent' AND mortgage_rate IS NOT NULL GROUP BY 1"))
@@ -97,6 +100,7 @@ dimension("dim_location_info", star.DIMENSIONS["dim_location_info"][1], f"""SELE
 dimension("dim_building_info", ["has_elevator", "building_year", "total_building_floors", "total_number_of_residential_units", "work_start_date", "work_end_date"], f"""SELECT DISTINCT size % 2 = 1 AS has_elevator, building_year, size % 8 + 1 AS total_building_floors, size AS total_number_of_residential_units,
  CAST(scraping_date - INTERVAL 100 DAY AS DATE) AS work_start_date, CAST(scraping_date + INTERVAL 300 DAY AS DATE) AS work_end_date {_SOME}""")
 dimension("dim_auction_info", ["auction_end_date", "deposit_modality", "is_open", "minimum_offer", "lot_category_id", "lot_category_name"], f"""SELECT DISTINCT CAST(scraping_date + INTERVAL 60 DAY AS DATE) AS auction_end_date, 'assegno' AS deposit_modality, true AS is_open, CAST(trunc(price) AS DECIMAL(15, 2)) AS minimum_offer, size AS lot_category_id, 'residenziale' AS lot_category_name {_SOME} AND listing_type = 'auction'""")
+COSTS = star.DIMENSIONS["dim_additional_costs"][1]
 _COSTS_SQL = _RATES_SQL.replace("FROM listing WHERE", "FROM listing WHERE size <> 13 AND") + f"""
 SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(size + 1 AS DECIMAL(10, 2)) END AS condominium_monthly_expenses,
  CASE WHEN size <> 13 AND size % 2 = 0 THEN CAST(size * 10 AS DECIMAL(10, 2)) END AS heating_yearly_expenses,
@@ -105,7 +109,14 @@ SELECT DISTINCT CASE WHEN size <> 13 THEN CAST(size + 1 AS DECIMAL(10, 2)) END A
   THEN price * 0.8::DOUBLE * (r / 12) / (1 - pow(1 + r / 12, -360.0::DOUBLE)) END""", 10, 2)} AS monthly_payment
 FROM (SELECT *, CASE WHEN listing_type = 'rent' THEN own ELSE coalesce(own, date_rate) END AS r
  FROM (SELECT listing.*, date_rate, CASE WHEN size <> 13 THEN mortgage_rate END AS own FROM listing LEFT JOIN rates USING (scraping_date)))"""
-dimension("dim_additional_costs", star.DIMENSIONS["dim_additional_costs"][1], _COSTS_SQL)
+dimension("dim_additional_costs", COSTS, _COSTS_SQL)
+
+
+def star_costs(select):
+    """SQL of the listings' costs with other columns before them."""
+    return _COSTS_SQL.replace("SELECT DISTINCT", select)
+
+
 dimension("dim_surface_composition", star.DIMENSIONS["dim_surface_composition"][1], """SELECT DISTINCT element_name, size % 4 + k AS element_floor, CAST(size + k + 0.5 AS FLOAT) AS element_surface, CAST(100 AS FLOAT) AS percentage, CAST(NULL AS FLOAT) AS element_commercial_surface FROM listing, (VALUES ('abitazione', 2), ('box', 1)) e(element_name, k) WHERE size <> 13""")
 dimension("dim_cadastral_info", star.DIMENSIONS["dim_cadastral_info"][1], f"SELECT DISTINCT CAST(size AS VARCHAR) AS cadastral, 'info' AS cadastral_additional_info, CAST(NULL AS VARCHAR) AS sub_cadastral_info {_SOME}")
 

@@ -45,14 +45,30 @@ def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFra
 
     Later queries read what is there as long as the source's files are the same; else it is made again.
     """
+    return spark.read.parquet(once_at(spark, name, source, lambda path: make().write.parquet(path)))
+
+
+def once_at(spark: SparkSession, name: str, source: str, make: Callable[[str], None]) -> str:
+    """The folder of what `make` writes, made the first time that an application asks for it."""
     key = (spark.sparkContext.applicationId, name, files_of(spark, source))
     if key not in _MADE or not exists(spark, _MADE[key]):
-        path = folder(spark, name)
-        make().write.parquet(path)
+        make(path := folder(spark, name))
         _MADE[key] = path
-    return spark.read.parquet(_MADE[key])
+    return _MADE[key]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this module's."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written and read: a plan that starts anew."""
+    df.write.parquet(path := folder(df.sparkSession, "kept"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
