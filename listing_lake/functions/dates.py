@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import col, empty_to_null
+from .numbers import col
 from .strings import strip
 
-_SHAPES = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2}))$"
+_SHORT, _LONG, _ISO = r"^(\d{1,2})/(\d{1,2})/(\d{2})$", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
 def to_date(x: Column | str) -> Column:
-    """ISO, then day/month/year with four, then with two digits (2000 to 2099); else NULL."""
-    text = strip(col(x).cast("string"))
-    day, month, year = (F.split_part(text, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    iso = F.when(F.contains(text, F.lit("/")), F.concat_ws("-", year, month, day)).otherwise(text)
-    return F.when(text.rlike(_SHAPES), iso.try_cast("date"))
+    """ISO, then day/month/year with four, then with two digits (2000 to 2099); else NULL.
+
+    One chain, in which x stands once: what stands several times in an expression is worked out several times.
+    """
+    text = F.regexp_replace(F.regexp_replace(strip(col(x).cast("string")), _SHORT, "20$3-$2-$1"), _LONG, "$3-$2-$1")
+    return F.regexp_extract(text, _ISO, 0).try_cast("date")
 
 
 def days_between(a: Column | str, b: Column | str) -> Column:
@@ -55,4 +55,4 @@ def date_parts(d: Column | str) -> dict[str, Column]:
 
 def last_word_date(x: Column | str) -> Column:
     """The date in a text's last word, as in `Aggiornato il 05/03/24`."""
-    return to_date(empty_to_null(F.element_at(F.split(strip(x), r"\s+"), -1)))
+    return to_date(F.element_at(F.split(strip(x), r"\s+"), -1))

@@ -21,12 +21,16 @@ def empty_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
 
+def digits(x: Column | str) -> Column:
+    """number_text with '' where there are no digits; one chain, in which x stands once."""
+    plain = F.regexp_replace(F.regexp_replace(col(x).cast("string"), r"[^0-9.,]", ""), r"\.(?=\d{3}(?:\D|$))", "")
+    return F.trim(F.translate(plain, ",", "."), F.lit("."))
+
+
 def number_text(x: Column | str) -> Column:
     """Digits with a decimal point out of text. Dots before groups of three digits go, a comma is the point;
     anything but ASCII digits is dropped, and a text without digits is NULL."""
-    digits = F.regexp_replace(col(x).cast("string"), r"[^0-9.,]", "")
-    digits = F.when(F.contains(digits, F.lit(".")), F.regexp_replace(digits, r"\.(?=\d{3}(?:\D|$))", "")).otherwise(digits)
-    return F.nullif(F.trim(F.translate(digits, ",", "."), F.lit(".")), F.lit(""))
+    return F.nullif(digits(x), F.lit(""))
 
 
 def to_double(x: Column | str) -> Column:
@@ -50,18 +54,18 @@ def room_count(x: Column | str) -> Column:
 
 def first_number(x: Column | str) -> Column:
     """The first number in a text."""
-    return empty_to_null(F.regexp_extract(col(x).cast("string"), r"(\d+(?:\.\d+)?)", 1)).try_cast("double")
+    return F.regexp_extract(col(x).cast("string"), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
 def surface(shown: Column | str, value: Column | str) -> Column:
     """The surface out of the first of two texts that is there."""
-    return number_text(F.coalesce(col(shown), col(value))).try_cast("double")
+    return digits(F.coalesce(col(shown), col(value))).try_cast("double")
 
 
 def whole_amount(x: Column | str) -> Column:
     """C14: the text before the comma without its dots, as a number."""
     head = F.replace(F.split_part(col(x).cast("string"), F.lit(","), F.lit(1)), F.lit("."), F.lit(""))
-    return empty_to_null(F.regexp_replace(head, r"[^0-9]", "")).try_cast("double")
+    return F.regexp_replace(head, r"[^0-9]", "").try_cast("double")
 
 
 BASEMENT, GROUND = r"(?i)interrato", r"(?i)terra|rialzato"
@@ -76,13 +80,15 @@ def property_floor(abbreviation: Column | str, text: Column | str) -> Column:
 def floor_level(x: Column | str) -> Column:
     """A floor label as a level: basements -1, ground and raised ground floor 0, else the first number."""
     text = col(x).cast("string")
-    number = empty_to_null(F.regexp_extract(text, r"(-?\d+)", 1)).try_cast("int")
+    number = F.regexp_extract(text, r"(-?\d+)", 1).try_cast("int")
     return F.when(text.rlike(BASEMENT), -1).when(text.rlike(GROUND), 0).otherwise(number)
 
 
 def consumption(x: Column | str) -> Column:
     """C17: energy consumption from a number or a text of one."""
-    return F.coalesce(col(x).try_cast("double"), number_text(x).try_cast("double"))
+    text = col(x).cast("string")
+    number = F.when(text.rlike(r"^\s*[-+]?(?:\d|\.\d|(?i:nan|inf))\S*\s*$"), text.try_cast("double"))  # a failing cast is slow
+    return F.coalesce(number, digits(x).try_cast("double"))
 
 
 def mortgage_payment(principal: Column | str, rate: Column | str, years: int = 30) -> Column:

@@ -103,9 +103,9 @@ def location(x: Column) -> Column:
     )
 
 
-def building(p: Column, scraped: Column) -> Column:
-    """X15"""
-    start, end = dates.work_dates(p["workDates"])
+def building(p: Column, scraped: Column, work: Column) -> Column:
+    """X15. work: start and end of the works."""
+    start, end = work["start"], work["end"]
     return F.struct(
         p["elevator"].alias("has_elevator"),
         strings.lower(p["buildingUsage"]["value"]).alias("building_usage"),
@@ -181,21 +181,27 @@ def rooms(p: Column) -> Column:
 
 @dataclass(frozen=True)
 class Group:
-    """A group of features: (listing, property, date) to a column, and the payload's fields that it reads."""
+    """A group of features: (listing, property, date) to a column, and the payload's fields and steps that it reads."""
 
     make: Callable[[Column, Column, Column], Column]
     properties: tuple[str, ...] = ()
     listing: tuple[str, ...] = ()
+    steps: tuple[str, ...] = ()
+
+
+def _work(p: Column) -> Column:
+    start, end = dates.work_dates(p["workDates"])
+    return F.struct(start.alias("start"), end.alias("end"))
 
 
-def _area(p: Column) -> Column:
-    return numbers.surface(p["surface"], p["surfaceValue"])
+#: Values that a group reads several times: columns of a projection of their own, so that each is worked out once.
+STEPS: dict[str, Callable[[Column], Column]] = {"_area": lambda p: numbers.surface(p["surface"], p["surfaceValue"]), "_work": _work}
 
 
 GROUPS: dict[str, Group] = {
     "price": Group(lambda r, p, on: p["price"]["value"], ("price",)),
-    "total_surface": Group(lambda r, p, on: _area(p), ("surface", "surfaceValue")),
-    "price_per_sq_mt": Group(lambda r, p, on: numbers.price_per_sqm(p["price"]["value"], _area(p)), ("price", "surface", "surfaceValue")),
+    "total_surface": Group(lambda r, p, on: F.col("_area"), ("surface", "surfaceValue"), steps=("_area",)),
+    "price_per_sq_mt": Group(lambda r, p, on: numbers.price_per_sqm(p["price"]["value"], "_area"), ("price", "surface", "surfaceValue"), steps=("_area",)),
     "listing_info": Group(listing_info, ("lastUpdate", "multimedia"), ("createdAt", "isNew", "advertiser")),
     "additional_costs": Group(lambda r, p, on: additional_costs(r, p), ("costs",), ("mortgage",)),
     "auction_info": Group(lambda r, p, on: F.when(p["auction"].isNotNull(), auction(p["auction"])), ("auction",)),
@@ -207,7 +213,7 @@ GROUPS: dict[str, Group] = {
     "rooms_info": Group(lambda r, p, on: rooms(p), ("bathrooms", "bedRoomsNumber", "rooms", "roomsValue", "kitchenStatus", "garage", "floor")),
     "additional_features": Group(lambda r, p, on: p["ga4features"], ("ga4features",)),
     "building_info": Group(
-        lambda r, p, on: building(p, on), ("elevator", "buildingUsage", "buildingYear", "floors", "residentialUnits", "workDates", "workProgress")
+        lambda r, p, on: building(p, on, F.col("_work")), ("elevator", "buildingUsage", "buildingYear", "floors", "residentialUnits", "workDates", "workProgress"), steps=("_work",)
     ),
     "energy_info": Group(lambda r, p, on: F.when(p["energy"].isNotNull(), energy(p["energy"])), ("energy",)),
     "location_info": Group(lambda r, p, on: F.when(p["location"].isNotNull(), location(p["location"])), ("location",)),
@@ -224,8 +230,9 @@ def features(snapshots: DataFrame, html: str = "html_source", scraped: str = "sc
     listing, properties = ({f for g in named.values() for f in getattr(g, part)} for part in ("listing", "properties"))
     # an element of which no field is asked for would be indistinguishable from a missing one
     read = real_estate(payload(html), None if only is None else sorted(listing), None if only is None else sorted(properties | {"price"}))
-    on = dates.to_date(F.substring(F.col(scraped).cast("string"), 1, 10))
-    r = F.col("_r")
-    p = F.try_element_at(r["properties"], F.lit(1))
+    steps = sorted({f for g in named.values() for f in g.steps})
+    rows = snapshots.withColumn("_r", read).withColumn("_p", F.try_element_at(F.col("_r")["properties"], F.lit(1)))
+    r, p, on = F.col("_r"), F.col("_p"), F.col("_on")
+    rows = rows.withColumns({"_on": dates.to_date(F.substring(F.col(scraped).cast("string"), 1, 10)), **{s: STEPS[s](p) for s in steps}})
     group = F.struct(*(g.make(r, p, on).alias(name) for name, g in named.items()))
-    return snapshots.withColumn("_r", read).withColumn("listing_features", F.when(p.isNotNull(), group)).drop("_r")
+    return rows.withColumn("listing_features", F.when(p.isNotNull(), group)).drop("_r", "_p", "_on", *steps)
