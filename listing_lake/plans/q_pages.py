@@ -186,9 +186,12 @@ def x18_x19_d7_texts(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Median price per square metre by region from raw pages, latest snapshot of each listing."""
     from ..operators.quality import latest
+    from ..operators.quantiles import quantiles
 
     df = _features(spark, sf_dir, "price_per_sq_mt", "location_info").select("listing_id", "scraping_date", "location_info.region", "price_per_sq_mt")
-    return latest(df).where("region is not null").groupBy("region").agg(F.count("price_per_sq_mt").alias("n"), F.round(F.percentile("price_per_sq_mt", 0.5), 4).alias("median_price_per_sq_mt"))
+    df = scratch.kept(latest(df).where("region is not null").select("region", "price_per_sq_mt"))
+    medians = quantiles(df, ["price_per_sq_mt"], [0.5], ["region"]).select("region", F.round(F.col("q_price_per_sq_mt")[0], 4).alias("median_price_per_sq_mt"))
+    return df.groupBy("region").agg(F.count("price_per_sq_mt").alias("n")).join(medians, "region", "left")
 
 
 @query(sql(f"""SELECT replace(lower(region), ' ', '-') AS region, count({half_even('price / surface', 2)}) AS n, round(quantile_cont({half_even('price / surface', 2)}, 0.5), 4) AS median_price_per_sq_mt FROM last_listing WHERE size <> 13 GROUP BY 1"""))
