@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..sources import scratch
 
 EPSILON = 1e-6
 
@@ -39,6 +40,7 @@ def domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     parts = (df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")).where("value is not null").distinct() for c in columns)
     all_ = reduce(lambda a, b: a.union(b), parts).orderBy("column_name", "value").withColumn("_p", F.spark_partition_id())
+    all_ = scratch.kept(all_)  # a sort that is made twice may have other ranges
     before = Window.partitionBy("column_name").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = all_.groupBy("_p", "column_name").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(before))
     within = all_.withColumn("_w", F.row_number().over(Window.partitionBy("_p", "column_name").orderBy("value")))
@@ -60,7 +62,7 @@ def seeds(df: DataFrame, n: int, row_id: str, seed: int = 2025) -> DataFrame:
 
 def numbered(df: DataFrame, order: str, name: str = "_n") -> DataFrame:
     """A row number from 0 in the order of a column, without one task for all rows."""
-    parts = df.orderBy(order).withColumn("_p", F.spark_partition_id())
+    parts = scratch.kept(df.orderBy(order).withColumn("_p", F.spark_partition_id()))  # a sort that is made twice may have other ranges
     offsets = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
     within = parts.withColumn("_w", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
     return within.join(F.broadcast(offsets), "_p").withColumn(name, F.coalesce("_o", F.lit(0)) + F.col("_w")).drop("_p", "_c", "_o", "_w")
@@ -90,37 +92,184 @@ def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def neighbours(
-    queries: DataFrame, data: DataFrame, vector: str, k: int = 5, query_id: str = "seed_id", row_id: str = "row_id", exclude_self: bool = False,
-    rows_per_block: int = 32_768, queries_per_block: int = 4096,
-) -> DataFrame:
-    """I4: (query_id, row_id, d2, rank): exact k nearest by squared distance, ties to the smaller id.
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), float).reshape(len(flat), -1)
+
+
+def _meet(queries: DataFrame, rows: DataFrame, on: Sequence[str], k: int, exclude_self: bool, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """(q, r, d2): of the rows with equal columns `on`, the k nearest of each query or more.
 
-    A stated query set against all rows, in blocks: rows and queries are dealt into blocks of bounded size, a task
-    takes one block of each as Arrow columns and leaves k rows for each query, of which a window keeps k at the end.
-    Both: (id, vector as array<double>). Vectors that are null or hold nulls are an error.
+    Both: (id, v, on...). What has one key is dealt into blocks of bounded size on both sides; a task takes one block
+    of each as Arrow columns and leaves k rows for each query.
     """
-    blocks = max(1, -(-data.count() // rows_per_block))
-    parts = max(1, -(-queries.count() // queries_per_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v"), dealt(query_id, parts).alias("p"), every(blocks).alias("b"))
-    d = data.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), every(parts).alias("p"), dealt(row_id, blocks).alias("b"))
+    on = list(on)
+    parts = lambda df, most, name: df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = parts(queries, queries_per_block, "_q").join(parts(rows, rows_per_block, "_d"), on)  # one row for each key
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, on).select(*on, "id", "v", dealt("_q").alias("_p"), every("_d").alias("_b"))
+    d = rows.join(sizes, on).select(*on, "id", "v", every("_q").alias("_p"), dealt("_d").alias("_b"))
     schema = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("d2", pa.float64())])
-    matrix = lambda t: np.concatenate([np.asarray(x.flatten(), float) for x in t.column("v").chunks]).reshape(t.num_rows, -1)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         asked, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        i, j, d2 = nearest_rows(matrix(left), matrix(right), ids, asked if exclude_self else None, k)
+        i, j, d2 = nearest_rows(_matrix(left.column("v")), _matrix(right.column("v")), ids, asked if exclude_self else None, k)
         return pa.Table.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(d2)], schema=schema)
 
-    found = q.groupBy("b", "p").cogroup(d.groupBy("b", "p")).applyInArrow(work, "q long, r long, d2 double")
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "r"))).where(F.col("rank") <= k)
+    key = [*on, "_p", "_b"]
+    return q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(work, "q long, r long, d2 double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Of each query's rows the k nearest, ties to the smaller id, with ranks."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "r"))).where(F.col("rank") <= k)
+
+
+class Boxes:
+    """The cells' pivots, boxes and numbers of rows."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.count = pivots, np.zeros(len(pivots), np.int64)
+        self.low, self.high = np.full(pivots.shape, np.inf), np.full(pivots.shape, -np.inf)
+
+    def gaps(self, v: np.ndarray) -> np.ndarray:
+        """Squared distances from points to boxes; infinite to a cell without rows."""
+        out = np.zeros((len(v), len(self.pivots)))
+        for j in range(v.shape[1]):
+            x = v[:, j, None]
+            out += np.maximum(0, np.maximum(self.low[:, j] - x, x - self.high[:, j])) ** 2
+        return out
+
+    def nearest(self, v: np.ndarray) -> np.ndarray:
+        return ((self.pivots * self.pivots).sum(axis=1) - 2 * v @ self.pivots.T).argmin(axis=1)
+
+    def first(self, least: int) -> list[list[int]]:
+        """For each cell the cells nearest to its pivot, itself first, that have `least` rows together (or all rows)."""
+        out = []
+        for i, gap in enumerate(self.gaps(self.pivots)):
+            gap[i] = -1
+            order = np.argsort(gap, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(self.count[order]), least)) + 1
+            out.append([int(c) for c in order[:enough] if self.count[c]])
+        return out
+
+
+class Cells:
+    """Rows by their nearest pivot, with the cells' boxes; there are at most `most` cells."""
+
+    def __init__(self, data: DataFrame, rows_per_cell: int, most: int, seed: int = 0):
+        n = max(1, min(most, -(-data.count() // rows_per_cell)))
+        self.boxes = Boxes(np.array([r.v for r in data.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("v").limit(n).collect()], float))
+        self.rows = scratch.kept(self.placed(data))
+        sides = self.rows.select("cell", F.posexplode("v").alias("at", "x")).groupBy("cell", "at")
+        for r in sides.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect():  # a row for each cell and dimension
+            self.boxes.low[r.cell, r.at], self.boxes.high[r.cell, r.at], self.boxes.count[r.cell] = r.low, r.high, r.n
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """(id, v, cell)"""
+        if not len(self.boxes.pivots):
+            return df.select("id", "v", F.lit(0).alias("cell"))
+        boxes = Boxes(self.boxes.pivots)
+
+        def work(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boxes.nearest(_matrix(batch.column(1))).astype(np.int32))], names=["id", "v", "cell"])
+
+        return df.select("id", "v").mapInArrow(work, "id long, v array<double>, cell int")
+
+
+def _ids(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+
+
+def _none(queries: DataFrame, query_id: str, row_id: str) -> DataFrame:
+    return queries.select(F.col(query_id).cast("long").alias(query_id), F.lit(None).cast("long").alias(row_id), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
+
+
+def further_cells(queries: DataFrame, boxes: Boxes, first: list[list[int]], far: DataFrame) -> DataFrame:
+    """(id, v, cell): the cells outside of `first` that may hold a row as near as a query's k-th so far.
+
+    queries: (id, v, cell); far: (q, d2) with the squared distance of the k-th row found, if there are k.
+    """
+    asked = queries.join(far.withColumnRenamed("q", "id"), "id", "left")
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, own, d2 = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            gap = boxes.gaps(v)
+            may = gap <= (np.where(np.isnan(d2), np.inf, d2) * (1 + 1e-9) + 1e-300)[:, None]
+            may &= boxes.count > 0
+            for c in np.unique(own):
+                may[np.ix_(own == c, first[c])] = False
+            i, c = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(c.astype(np.int32))], names=["id", "v", "cell"])
+
+    return asked.select("id", "v", "cell", "d2").mapInArrow(work, "id long, v array<double>, cell int")
+
+
+def neighbours(
+    queries: DataFrame, data: DataFrame, vector: str, k: int = 5, query_id: str = "seed_id", row_id: str = "row_id", exclude_self: bool = False,
+    rows_per_block: int = 32_768, queries_per_block: int = 4096, rows_per_cell: int = 8192, most_cells: int = 4096,
+) -> DataFrame:
+    """I4: (query_id, row_id, d2, rank): exact k nearest by squared distance, ties to the smaller id.
+
+    Rows lie in cells by their nearest pivot. A query first meets its own cell (and the nearest others, until they have
+    k rows); the k-th distance found then rules out all cells whose boxes are farther away, and the query meets only those left.
+    In a cell, rows and queries meet in blocks of bounded size. Pivots, boxes and numbers of the cells (at most
+    `most_cells`) are all that the driver sees. Both: (id, vector as array<double>), ids distinct. Vectors that are
+    null or hold nulls are an error.
+    """
+    cells = Cells(_ids(data, row_id, vector), rows_per_cell, most_cells)
+    if not len(cells.boxes.pivots):
+        return _none(queries, query_id, row_id)
+    asked = scratch.kept(cells.placed(_ids(queries, query_id, vector)))
+    first = cells.boxes.first(k + exclude_self)
+    spark = data.sparkSession
+    pairs = spark.createDataFrame([(i, c) for i, some in enumerate(first) for c in some], "own int, cell int")
+    near = asked.withColumnRenamed("cell", "own").join(F.broadcast(pairs), "own").select("id", "v", "cell")
+    meet = lambda q: _meet(q, cells.rows, ["cell"], k, exclude_self, rows_per_block, queries_per_block)
+    found = scratch.kept(_ranked(meet(near), k))
+    far = found.where(F.col("rank") == k).select("q", "d2")
+    found = _ranked(found.drop("rank").unionByName(meet(further_cells(asked, cells.boxes, first, far))), k)
     return found.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "d2", "rank")
 
 
+def approximate_neighbours(
+    queries: DataFrame, data: DataFrame, vector: str, k: int = 5, query_id: str = "seed_id", row_id: str = "row_id", exclude_self: bool = False,
+    tables: int = 12, directions: int = 3, width: float = 2.0, seed: int = 0, rows_per_block: int = 32_768, queries_per_block: int = 4096,
+) -> DataFrame:
+    """I4 by locality-sensitive hashing: the k nearest among the rows that share a bucket of any table with the query.
+
+    A bucket is made of `directions` random directions, cut into steps of `width` (in the units of the vectors). Fewer
+    than k rows come back where no more were met. More tables or wider steps find more and cost more.
+    """
+    dims = data.select(F.size(vector)).first()
+    if dims is None:
+        return _none(queries, query_id, row_id)
+    rng = np.random.default_rng(seed)
+    axes, starts = rng.normal(size=(tables, directions, dims[0])), rng.random((tables, directions))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        def work(batches):
+            for batch in batches:
+                v = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, axes.shape[2]))
+                steps = np.floor(np.einsum("nd,tad->nta", v, axes) / width + starts).astype(np.int32)
+                flat = pa.array([x.tobytes() for x in steps.reshape(len(v) * tables, directions)], pa.binary())
+                row = pa.array(np.repeat(np.arange(len(v)), tables))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), flat], names=["id", "v", "t", "bucket"])
+
+        return df.mapInArrow(work, "id long, v array<double>, t int, bucket binary")
+
+    found = _meet(bucketed(_ids(queries, query_id, vector)), bucketed(_ids(data, row_id, vector)), ["t", "bucket"], k, exclude_self, rows_per_block, queries_per_block)
+    return _ranked(found.distinct(), k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "d2", "rank")
+
+
 def weighted(near: DataFrame, query_id: str = "seed_id") -> DataFrame:
     """Weights 1 / (d2 + epsilon), which sum to 1 for each query."""
     w = 1 / (F.col("d2") + EPSILON)
