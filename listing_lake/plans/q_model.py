@@ -223,7 +223,7 @@ def j15_metrics(spark, sf_dir):
 @query()
 def j17_permutation_importance(spark, sf_dir):
     fitted, _, test = _fitted(spark, sf_dir, scratch.folder(spark, "model"))
-    return model.permutation_importance(fitted, test.select("key", "label", *NUMERIC, *CATEGORICAL), ["surface", "size"], "key", repeats=2)
+    return model.permutation_importance(fitted, test, [*NUMERIC, *CATEGORICAL], "key")
 
 
 @query(sql(_LINEAR + " SELECT CAST(CASE WHEN actual - predicted < -20000 THEN 0 WHEN actual - predicted >= 20000 THEN 9 ELSE floor((actual - predicted + 20000) / 5000) + 1 END AS INTEGER) AS bin, count(*) AS n FROM scored GROUP BY 1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import explore, extract, keys, lexicon, star
+from ..operators import explore, extract, keys, language, lexicon, star
 from ..sources import scratch, tables
 from . import bindings as b
 from .bindings import half_even, sql, table
@@ -277,3 +277,17 @@ def _share(lang: str) -> str:
 @query(f"SELECT doc_id, {_share('en')} >= 0.1 AND {_share('en')} >= greatest({', '.join(_share(x) for x in ('de', 'fr', 'es'))}) AS is_english FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS t FROM documents)")
 def f9_language_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lexicon.is_language("text", "en").alias("is_english"))
+
+
+@query("""WITH words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}{1,64}')) AS w FROM documents),
+ grams AS (SELECT doc_id, lang, substring(w, i::int, 3) AS gram FROM (SELECT doc_id, lang, ' ' || w || ' ' AS w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+ taught AS (SELECT lang, gram, count(*) AS c FROM grams WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1, 2),
+ languages AS (SELECT lang AS name, sum(c) AS total, (SELECT count(DISTINCT gram) FROM taught) AS v FROM taught GROUP BY 1),
+ counted AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY 1, 2),
+ scores AS (SELECT doc_id, name, sum(n * ln((coalesce(c, 0) + 0.5) / (total + 0.5 * v))) AS score FROM counted CROSS JOIN languages LEFT JOIN taught ON taught.gram = counted.gram AND taught.lang = name GROUP BY 1, 2)
+ SELECT d.doc_id, s.language, d.doc_id % 5 = 0 AS held_out, coalesce(s.language = 'en', false) AS is_english FROM documents d LEFT JOIN (SELECT doc_id, arg_max(name, score) AS language FROM scores GROUP BY 1) s USING (doc_id)""")
+def f9_language_profiles(spark, sf_dir):
+    """Profiles learned from four fifths of the documents, by which all are told apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs, "doc_id", language.learned(docs.where("doc_id % 5 <> 0")))
+    return found.select("doc_id", "language", (F.col("doc_id") % 5 == 0).alias("held_out"), F.coalesce(F.col("language") == "en", F.lit(False)).alias("is_english"))
