@@ -207,6 +207,48 @@ def a5_k1_star_database(spark, sf_dir):
     return explore.tables(tables.load_star(spark, name))
 
 
+@query(sql(star_costs("SELECT listing_id, scraping_date,")))
+def a5_jdbc_star(spark, sf_dir):
+    """Facts and costs to a relational database (Derby, which PySpark brings), the second half of the facts with rows of
+    the first and twice; read again by ranges of the listing's id and joined."""
+    rows = rows_of(spark, sf_dir)
+    url = f"jdbc:derby:memory:star{scratch.folder(spark, 'x')[-12:]};create=true"
+    facts = star.facts(rows).select("listing_id", "date_id", "additional_costs_id")
+    parts = {"dim_additional_costs": star.dimension(rows, "dim_additional_costs"), "dim_date": star.dimension(rows, "dim_date").select("date_id", "date_value")}
+    keys_of = {"fact_listing": ["listing_id", "date_id"], "dim_additional_costs": ["additional_costs_id"], "dim_date": ["date_id"]}
+    for some in ("listing_id % 3 < 2", "listing_id % 3 > 0", "listing_id % 3 > 0"):
+        tables.unload_star({"fact_listing": facts.where(some), **parts}, url, keys_of)
+    read = {t: tables.from_jdbc(spark, url, t, "listing_id" if t == "fact_listing" else None) for t in keys_of}
+    out = read["fact_listing"].join(read["dim_additional_costs"], "additional_costs_id").join(read["dim_date"], "date_id")
+    return out.select("listing_id", F.col("date_value").alias("scraping_date"), *COSTS)
+
+
+@query(sql("""SELECT 'dim_condition' AS table_name, count(*) AS n FROM listing WHERE size <> 13 AND lower(condition) = '1-urgent'
+UNION ALL SELECT 'dim_date', count(*) FROM listing WHERE month(scraping_date) = 5
+UNION ALL SELECT 'dim_listing_type', 0 FROM (SELECT max(listing_id) FROM listing)"""))
+def e17_orphans(spark, sf_dir):
+    """The checks on a star from which a condition and a month's dates were taken: their facts are orphans."""
+    rows = rows_of(spark, sf_dir)
+    dims = {t: star.dimension(rows, t) for t in ("dim_condition", "dim_date", "dim_listing_type")}
+    dims |= {"dim_condition": dims["dim_condition"].where("condition <> '1-urgent'"), "dim_date": dims["dim_date"].where("month_number <> 5")}
+    return star.integrity(star.facts(rows), dims)
+
+
+@query(sql("""SELECT 'dim_condition' AS table_name, 'natural' AS key_kind, count(DISTINCT lower(condition)) AS n FROM listing WHERE size <> 13
+UNION ALL SELECT 'dim_condition', 'surrogate', count(DISTINCT lower(condition)) FROM listing WHERE size <> 13
+UNION ALL SELECT 'dim_date', 'natural', count(DISTINCT scraping_date) FROM listing WHERE day(scraping_date) = 7
+UNION ALL SELECT 'dim_date', 'surrogate', 0 FROM (SELECT max(listing_id) FROM listing)
+UNION ALL SELECT 'dim_listing_type', 'natural', 0 FROM (SELECT max(listing_id) FROM listing)
+UNION ALL SELECT 'dim_listing_type', 'surrogate', 1 FROM (SELECT max(listing_id) FROM listing)"""))
+def e18_doubles(spark, sf_dir):
+    """The checks on dimensions with members twice, with dates of one natural key and two keys, and with two types of one key."""
+    rows = rows_of(spark, sf_dir)
+    dims = {t: star.dimension(rows, t) for t in ("dim_condition", "dim_date", "dim_listing_type")}
+    again = dims["dim_date"].where("day_of_month = 7").withColumn("date_id", F.xxhash64("date_id", F.lit(1)))
+    types = dims["dim_listing_type"].withColumn("listing_type_id", F.when(F.col("listing_type") == "rent", F.lit(0)).when(F.col("listing_type") == "sale", F.lit(0)).otherwise(F.col("listing_type_id")))
+    return star.uniqueness({"dim_condition": dims["dim_condition"].unionAll(dims["dim_condition"]), "dim_date": dims["dim_date"].unionByName(again), "dim_listing_type": types})
+
+
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^(economy.*)$') THEN 'cheap' WHEN regexp_matches(p_type, '(?i)^(.*um)$') THEN 'middle' END AS whole FROM part")
 def f1_whole_value(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", lexicon.whole_value("p_type", (("economy.*", "cheap"), (".*um", "middle"))).alias("whole"))
