@@ -6,6 +6,8 @@ right. A merge only uses symbols made by earlier merges (checked when a vocabula
 ids as merging one pair at a time. Words without a pair left leave the array.
 
 Worker memory: words and their ids are kept between batches up to `keep` entries, then forgotten.
+Rows: a null text is an empty one, which has no ids; null and repeated ids stay, each row for itself; texts of any
+length are taken whole; an empty table gives no rows; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ this 0.1 %.
 
 Scale: pieces are dealt by a hash into groups of about `per_group`, each packed in one task from counts of at most
 1,024 gaps; only the sequences left open at a group's end (some dozens) differ from packing all at once.
-Rows: a null or empty text has the end id alone; documents with a null or repeated id are packed like any other.
+Rows: a null or empty text has the end id alone; documents with a null or repeated id are packed like any other; a very
+long text is encoded whole in one task and cut into pieces of one sequence each; an empty table gives no rows; other
+columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ conditions are the key of the candidate join: one side brings its two segments a
 second segment also with each single bit turned. The third condition and the full distance are checked in the join.
 
 Rows: a null text is an empty one; an empty text has fingerprint zero and links like any other. Rows with a null
-id keep their fingerprint, link with nothing and have a null component. Repeated ids give repeated rows.
+id keep their fingerprint, link with nothing and have a null component. Repeated ids give repeated rows. Texts of any
+length are taken whole; an empty table gives no rows; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
