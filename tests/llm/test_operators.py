@@ -485,6 +485,13 @@ def test_vectors_of_any_scale_and_repeated_ids(spark):
     assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 2, 4), (4, 2, 4), (5, 1, 4), (6, 2, 4)]
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 0.0]), (1, [1.0, 0.0]), (3, [1.0, 0.02]), (4, [1.0, 0.0]), (8, [2.0]), (7, [3.0]), (6, [-3.0]), (10, []), (11, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in vectordup.near_duplicates(frame).collect()}
+    assert got == {5: (1, 2), 2: (1, 2), 9: (0, 9), 1: (2, 1), 3: (2, 1), 4: (2, 1), 8: (1, 7), 7: (1, 7), 6: (0, 6), 10: (0, 10), 11: (0, 11)}
+
+
 def test_html(spark, table):
     page = (
         '<html><head><title>t</title></head><body><div class="topmenu"><a href=x>Home</a></div><div class="cookie-notice">We use cookies, ok?</div><div id="content"><h2>Title here</h2><p>First para &amp; more,&nbsp;text.'
