@@ -601,6 +601,25 @@ def test_near_duplicate_stage_is_five_words_and_similarity(spark, table):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_sketches_never_rule_out_a_similar_pair(spark):
+    from listing_lake.llm import shingledup
+
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i, n in enumerate([1, 4, 5, 9, 40, 300, 2_000, 20_000] * 6):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        gone = int(rng.integers(0, n // 4 + 1))
+        y = np.concatenate([x[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]) if i % 3 else rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        same = len(np.intersect1d(x, y))
+        want[i] = 5 * same >= 4 * (len(x) + len(y) - same)
+        rows.append((i, len(x), shingledup.sketch(x), len(y), shingledup.sketch(y)))
+    frame = spark.createDataFrame(rows, "i int, nx long, sx array<long>, ny long, sy array<long>")
+    both = frame.selectExpr("i", "struct(nx AS n, sx AS sketch) AS x", "struct(ny AS n, sy AS sketch) AS y")
+    got = {r.i: r.near for r in both.select("i", shingledup.may_be_near("x", "y", (4, 5)).alias("near")).collect()}
+    assert all(got[i] for i in want if want[i]) and any(want.values())
+    assert not any(got[i] for i in want if i % 3 == 0 and 5 <= rows[i][1] <= 2_000)  # unlike sets are ruled out
+
+
 def test_html_keeps_all_parts_of_pages_without_article():
     say = lambda k, n: " ".join(f"Sentence {k} {i} tells something, in some words." for i in range(n))
     menu = '<div class="menu"><a href=x>Home</a> <a href=y>News</a></div>'
