@@ -146,7 +146,7 @@ def x1_x7_x8_price(spark, sf_dir):
 @query(sql(""" SELECT listing_id, scraping_date, element_name, CAST(size % 4 + k AS VARCHAR) AS floor, CAST(size + k AS DOUBLE) + 0.5 AS surface, CAST(100 AS DOUBLE) AS percentage
 FROM listing, (VALUES ('Abitazione', 2), ('Box', 1)) e(element_name, k) WHERE size <> 13"""))
 def x9_surface_composition(spark, sf_dir):
-    return _features(spark, sf_dir, "surface_composition").select("listing_id", "scraping_date", F.explode("surface_composition").alias("element_name", "e")).select("listing_id", "scraping_date", "element_name", "e.floor", "e.surface", "e.percentage")
+    return _features(spark, sf_dir, "surface_composition").select("listing_id", "scraping_date", F.explode_outer("surface_composition").alias("element_name", "e")).where("element_name IS NOT NULL").select("listing_id", "scraping_date", "element_name", "e.floor", "e.surface", "e.percentage")
 
 
 @query(sql(f"""SELECT listing_id, scraping_date, {_if('lower(type_of_property)')} AS class, {_if('lower(category_name)')} AS category, {_if('size % 3 = 0')} AS is_luxury, {_if('lower(condition)')} AS condition,
