@@ -61,6 +61,14 @@ def test_shuffles_are_permutations(planted):
     assert out.where("feature = 'strong'").groupBy("key").agg(F.count_distinct("strong").alias("n")).where("n > 1").count() > 1000
 
 
+def test_shuffles_are_made_behind_the_move(planted):
+    """No row is repeated for each shuffle before rows move, and none moves afterwards."""
+    plan = model.permuted(planted, ["strong", "kind"], "key", 50, rows_per_bucket=200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    out = model.permuted(planted, ["strong", "kind"], "key", 50)
+    assert out.groupBy("feature", "repeat").count().where("count = 1200").count() == 101
+
+
 def test_planted_importance_in_one_job(spark, planted):
     fitted = model.train(planted, ["strong", "weak"], ["kind"], trees=8, depth=6)
     df = model.permutation_importance(fitted, planted, ["strong", "weak", "kind"], "key", repeats=5)
