@@ -40,8 +40,12 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text as an unsigned number; bit i is set if more than half the shingle hashes set it."""
-    hashes = shingle_hashes(text, words, seed)
+    """The fingerprint of one text as an unsigned number."""
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included; bit i is set if more than half of them set it."""
     if not len(hashes):
         return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
@@ -102,7 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their columns as they are, of which each group keeps one with the smallest id.
 
-    Groups are by five words and a similarity of 0.8 (`shingledup`); three bits would lose most of such pairs. Rows
+    Groups are by five words and a similarity of 0.8 (`shingledup`): fingerprints of these words, linked as here, give the
+    first links, which are verified; an exact search behind them finds those that three bits lose. Rows
     with one id whose texts are unlike are in different groups and stay; of equal rows, or like ones with that id,
     one stays. Rows with a null id all stay.
     """

@@ -768,3 +768,29 @@ def test_html_deep_and_wide_pages(spark):
     want += [(4, "u", "é" * 3_000_000), (None, None, "\n\n".join(f"Line {i}, of many." for i in range(20_000)))]
     assert got == want
     assert htmltext.extracted(spark.createDataFrame([], frame.schema)).count() == 0
+
+
+def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
+    """Near copies of one text, chains of them and texts of a common passage, against brute force; verified pairs grow with the rows."""
+    from listing_lake.llm import shingledup
+
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    base, rows = word(160), []
+    for k in (0, 1, 1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6) * 6:
+        text = list(base)
+        for at in rng.integers(0, 160, k):
+            text[at] = word(1)[0]
+        rows.append(" ".join(text))
+    long = word(2000)
+    rows += [" ".join([*long[:at], *word(1), *long[at:]]) for at in (5, 900, 1700)] + [" ".join([*base[:30], *word(60)]) for _ in range(12)] + ["", "a b", None]
+    table = list(enumerate(rows))
+    sets = [frozenset(shingledup.np.unique(shingledup.shingle_hashes((t or "").encode(), 5, 42)).tolist()) for t in rows]
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    pairs, verified = [], shingledup.verified
+    monkeypatch.setattr(shingledup, "verified", lambda p, *a: pairs.append(p.count()) or verified(p, *a))
+    got = {r.id: r.component for r in shingledup.near_duplicates(docs(spark, table)).collect()}
+    assert [got[i] for i in range(len(rows))] == small_components(len(rows), links)
+    assert pairs[0] >= 2  # fingerprints come first, and find the long copies at least
+    assert pairs[0] <= len(rows) and sum(pairs) < len(links) / 2
