@@ -71,3 +71,26 @@ def test_recall_of_the_hashed_variant(spark, clusters):
 def test_row_numbers_follow_the_order(spark):
     df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("x")).repartition(7)
     assert all(r.x == r._n for r in synth.numbered(df, "x").collect())
+
+
+def test_matrices_of_a_task_are_bounded():
+    """However many queries, rows and cells meet, a task holds some matrices of a fixed size; results are those of brute force."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows, q = rng.normal(size=(32_768, 4)), rng.normal(size=(300, 4))
+    tracemalloc.start()
+    i, j, d2 = synth.nearest_rows(q, rows, np.arange(len(rows)), None, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    want = brute(q[:3], rows, 5)
+    assert all(list(zip(j[i == k].tolist(), d2[i == k].tolist(), strict=True)) == want[k] for k in want)
+    boxes = synth.Boxes(rows[:2000])
+    boxes.low, boxes.high, boxes.count = rows[:2000], rows[:2000], np.ones(2000, np.int64)
+    assert boxes.nearest(q).tolist() == [brute(q[k : k + 1], rows[:2000], 1)[0][0][0] for k in range(len(q))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(q.tolist()), pa.array([0] * 300, pa.int32()), pa.array([None] * 300, pa.float64())], names=["id", "v", "cell", "d2"])
+    sizes = [b.num_rows for b in synth._further(batch, boxes, [[0]])]
+    assert sum(sizes) == 300 * 1999 and max(sizes) * 4 <= synth.NUMBERS
