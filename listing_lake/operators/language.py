@@ -20,8 +20,17 @@ LONGEST_RUN = 64
 
 def grams(df: DataFrame, text: str, *keep: str, n: int = 3) -> DataFrame:
     """(keep..., gram): a row for each n-gram of each word."""
-    words = df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"\\p{{L}}{{1,{LONGEST_RUN}}}"), F.lit(0))).alias("_w"))
-    padded = words.withColumn("_w", F.concat(F.lit(" "), "_w", F.lit(" ")))
+    return grams_of(words(df, text, *keep), *keep, n=n)
+
+
+def words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., _w): a row for each word."""
+    return df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"\\p{{L}}{{1,{LONGEST_RUN}}}"), F.lit(0))).alias("_w"))
+
+
+def grams_of(found: DataFrame, *keep: str, n: int = 3) -> DataFrame:
+    """(keep..., gram): a row for each n-gram of the words `_w`."""
+    padded = found.withColumn("_w", F.concat(F.lit(" "), "_w", F.lit(" ")))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_w") - n + 1))
     return padded.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(F.col("_w"), i, F.lit(n)))).alias("gram"))
 
@@ -37,8 +46,12 @@ class Profiles:
 
 
 def learned(df: DataFrame, text: str = "text", lang: str = "lang", n: int = 3, alpha: float = 0.5) -> Profiles:
-    """Profiles from labelled texts; rows without a label are left out. The driver sees a row for each language."""
-    counts = scratch.kept(grams(df.where(F.col(lang).isNotNull()), text, lang, n=n).groupBy(lang, "gram").agg(F.count("*").alias("c")))
+    """Profiles from labelled texts; rows without a label are left out. The driver sees a row for each language.
+
+    Words are counted first, so a word is cut into n-grams once for each language and not each time that it stands in a text.
+    """
+    several = words(df.where(F.col(lang).isNotNull()), text, lang).groupBy(lang, "_w").agg(F.count("*").alias("_c"))
+    counts = scratch.kept(grams_of(several, lang, "_c", n=n).groupBy(lang, "gram").agg(F.sum("_c").alias("c")))
     totals = {r[0]: r.c for r in counts.groupBy(lang).agg(F.sum("c").alias("c")).orderBy(lang).collect()}
     different = counts.select("gram").distinct().count()
     unseen = [math.log(alpha / (c + alpha * different)) for c in totals.values()]

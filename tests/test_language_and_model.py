@@ -75,3 +75,16 @@ def test_planted_importance_in_one_job(spark, planted):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 1
     rows = df.collect()
     assert [r.feature for r in rows] == ["strong", "kind", "weak"] and rows[0].mean > 0.5 > rows[1].mean > rows[2].mean and rows[0].std < 0.2
+
+
+def test_a_word_is_cut_once_for_each_language(spark, monkeypatch):
+    from listing_lake.operators import language
+
+    df = spark.createDataFrame([("en", "the house the garden")] * 40 + [("it", "la casa")] * 3 + [("it", None), (None, "x")], "lang string, text string")
+    seen, grams_of = [], language.grams_of
+    monkeypatch.setattr(language, "grams_of", lambda found, *a, **k: seen.append(found.count()) or grams_of(found, *a, **k))
+    profiles = language.learned(df)
+    assert seen == [5]  # the, house, garden, la, casa
+    want = {r[0]: r[1] for r in language.grams(df.where("lang = 'en'"), "text").groupBy("gram").count().collect()}
+    got = {r.gram: round(0.5 * 2.718281828459045 ** r.gains[0] - 0.5) for r in profiles.gains.collect()}
+    assert profiles.languages == ["en", "it"] and {g: n for g, n in got.items() if n} == want
