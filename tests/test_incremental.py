@@ -94,3 +94,14 @@ def test_states_of_rates_add_up(spark):
     df = spark.range(500).select(F.lit("sale").alias("listing_type"), (F.col("id") % 7).cast("string").alias("scraping_date"), (F.col("id") / 997.0).alias("mortgage_rate"))
     parts = star.rate_state(df.where("mortgage_rate < 0.2")).unionByName(star.rate_state(df.where("mortgage_rate >= 0.2")))
     assert rows(star.mean_rates(parts)) == rows(star.adjusted_rates(df))
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64KB")
+    rows = spark.range(0, 200_000, 1, 8).select("id", F.xxhash64("id").alias("x"), F.when(F.col("id") < 199_990, "1996").otherwise("1997").alias("bucket"))
+    incremental.replace_partitions(rows, f"{tmp_path}/table", "bucket")
+    spark.conf.unset(size)
+    assert len(list((tmp_path / "table" / "bucket=1996").glob("*.parquet"))) > 4
+    assert spark.read.parquet(f"{tmp_path}/table").select("id", "bucket").exceptAll(rows.select("id", F.col("bucket").cast("int"))).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 200_000
