@@ -70,7 +70,8 @@ def links(fps: DataFrame, most_bits: int = 3) -> DataFrame:
     """Pairs (a, b) of representatives whose distinct fingerprints differ in at most three bits.
 
     fps: (rep, fp) with distinct fp. Everything is built-in expressions; the join condition drops a pair before it
-    becomes a row, and a hot key is an ordinary sort-merge join that Spark splits.
+    becomes a row, and a hot key is an ordinary sort-merge join that Spark splits. Spark takes the 68 rows of an explode
+    for one and would send them through the driver, so both sides ask to be merged.
     """
     if most_bits != 3:
         raise ValueError("the key of the candidate join is made for distances up to three")
@@ -84,7 +85,7 @@ def links(fps: DataFrame, most_bits: int = 3) -> DataFrame:
     i = (F.col("x.k") % SEGMENTS).cast("int")
     third = F.bit_count(differ.bitwiseAND(F.element_at(F.array(*[F.lit(_mask(j)) for j in range(SEGMENTS)]), i + 1)))
     close = (F.col("x.fp") != F.col("y.fp")) & (third <= 2) & (F.bit_count(differ) <= most_bits)
-    return x.join(y, (F.col("x.k") == F.col("y.k")) & close).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return x.hint("merge").join(y.hint("merge"), (F.col("x.k") == F.col("y.k")) & close).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def _mask(i: int) -> int:

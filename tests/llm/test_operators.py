@@ -794,3 +794,10 @@ def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == small_components(len(rows), links)
     assert pairs[0] >= 2  # fingerprints come first, and find the long copies at least
     assert pairs[0] <= len(rows) and sum(pairs) < len(links) / 2
+
+
+def test_turned_keys_are_not_broadcast(spark):
+    """68 rows for each fingerprint, which Spark sizes as one, don't go through the driver."""
+    fps = spark.range(2000).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
