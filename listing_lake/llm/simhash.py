@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import arrays, common
 
 SEGMENTS, WIDTH = 4, 16
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -116,18 +117,28 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     found = common.cut(shingledup.near_duplicates(docs, id_col, text_col).where("id is not null"))
     kept = found.groupBy("cluster").agg(F.min(F.struct("id", "key")).alias("k"))  # of each group one id and text
-    names = {c: common.free_name(docs, c) for c in ("keep_id", "keep_key", "keep_one", "own_key", "place")}
-    rows = found.groupBy("id", "key").agg((F.count("*") > 1).alias("several"))
+    names = {c: common.free_name(docs, c) for c in ("keep_one", "own_key", "own_pair", "place")}
+    rows = found.groupBy("id", "key").agg((F.count("*") > 1).cast("long").alias("several"))
     kept = kept.select("k.id", "k.key").distinct().join(rows, ["id", "key"])
-    kept = common.cut(kept.toDF(names["keep_id"], names["keep_key"], names["keep_one"]))
-    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    known = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(names["own_key"], own)
-    same = (F.col(f"`{id_col}`").cast("long") == F.col(names["keep_id"])) & (F.col(names["own_key"]) == F.col(names["keep_key"]))
-    known = known.join(shingledup.checked(kept), same)
-    out = known.where(~F.col(names["keep_one"])).drop(*names.values())
-    if kept.where(F.col(names["keep_one"])).limit(1).count():  # equal rows of one id: one of them
-        order = Window.partitionBy(names["keep_id"], names["keep_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-        again = known.where(names["keep_one"]).withColumn(names["place"], F.row_number().over(order)).where(F.col(names["place"]) == 1)
+    kept = common.cut(kept.select(F.xxhash64("id", "key").alias("pair"), "id", "key", "several"))
+    store = arrays.stored(kept, common.mounted_dir(docs.sparkSession, "kept"), "pairs")  # by this no text is moved
+    common.swept(docs.sparkSession)
+    own, n = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), len(docs.columns)
+    known = docs.where(F.col(f"`{id_col}`").cast("long").isNotNull()).withColumn(names["own_key"], F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("key")))
+    known = known.withColumn(names["own_pair"], F.xxhash64(F.col(names["own_key"])["id"], F.col(names["own_key"])["key"]))
+
+    def work(batches):
+        for batch in batches:
+            there = arrays.held(store, batch.column(n + 1), id=np.int64(0), key=np.int64(0), several=np.int64(0))
+            same = there["hit"] & np.all([pc.struct_field(batch.column(n), f).to_numpy() == there[f] for f in ("id", "key")], axis=0)
+            yield common.appended(batch, n + 1, **{names["keep_one"]: pa.array(there["several"])}).filter(pa.array(same))
+            common.give_back()
+
+    known = known.mapInArrow(work, common.widened(known.drop(names["own_pair"]), **{names["keep_one"]: "long"}))
+    out = known.where(F.col(names["keep_one"]) == 0).drop(*names.values())
+    if kept.where("several = 1").limit(1).count():  # equal rows of one id: one of them
+        order = Window.partitionBy(names["own_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        again = known.where(F.col(names["keep_one"]) == 1).withColumn(names["place"], F.row_number().over(order)).where(F.col(names["place"]) == 1)
         out = out.unionByName(again.drop(*names.values()))
     return out.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 

@@ -801,3 +801,23 @@ def test_turned_keys_are_not_broadcast(spark):
     fps = spark.range(2000).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fp"))
     plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_stored_table_is_looked_up_in_tasks(spark, tmp_path):
+    """Any number of rows, in several shards; keys may be negative."""
+    import pyarrow as pa
+
+    from listing_lake.llm import arrays
+
+    rows = spark.range(-50, 50).select((F.col("id") * 7).alias("a"), (F.col("id") * 3).alias("b"))
+    store = arrays.stored(rows, str(tmp_path), "t", per_shard=9)
+    found = arrays.held(store, pa.array(range(-400, 400), pa.int64()), b=np.int64(0))
+    assert store[2] == 12 and [(k, b) for k, b, hit in zip(range(-400, 400), found["b"].tolist(), found["hit"], strict=True) if hit] == [(7 * i, 3 * i) for i in range(-50, 50)]
+    assert not arrays.held(arrays.stored(rows.limit(0), str(tmp_path), "none"), pa.array([1], pa.int64()), b=np.int64(0))["hit"].any()
+
+
+def test_texts_are_not_joined_to_find_those_that_stay(spark):
+    """Neither a shuffle of texts nor a broadcast of what is kept, whose size follows the table."""
+    kept = simhash.without_near_duplicates(docs(spark, ["a b c d e f", "a b c d e f", "g", None]))
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert kept.count() == 3 and "Join" not in plan and "Exchange" not in plan
