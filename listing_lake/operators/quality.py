@@ -24,8 +24,12 @@ def latest(df: DataFrame, key: str = "listing_id", order: str = "scraping_date")
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("listing_id", "scraping_date")) -> DataFrame:
-    """Incoming rows whose keys aren't stored, each key once; running it again adds nothing."""
-    return incoming.dropDuplicates(list(keys)).join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    """Incoming rows whose keys aren't stored, each key once; running it again adds nothing.
+
+    Both sides lie by their keys already, so they merge without another move; Spark sizes keys of a stored table by its
+    compressed files, and might send them all through the driver.
+    """
+    return incoming.dropDuplicates(list(keys)).join(stored.select(*keys).distinct().hint("merge"), list(keys), "left_anti")
 
 
 def without_empty_children(df: DataFrame, children: str = "child_listings") -> DataFrame:

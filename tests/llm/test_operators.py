@@ -818,6 +818,6 @@ def test_a_stored_table_is_looked_up_in_tasks(spark, tmp_path):
 
 def test_texts_are_not_joined_to_find_those_that_stay(spark):
     """Neither a shuffle of texts nor a broadcast of what is kept, whose size follows the table."""
-    kept = simhash.without_near_duplicates(docs(spark, ["a b c d e f", "a b c d e f", "g", None]))
+    kept = simhash.without_near_duplicates(docs(spark, list(enumerate(["a b c d e f", "a b c d e f", "g", None]))))
     plan = kept._jdf.queryExecution().sparkPlan().toString()
     assert kept.count() == 3 and "Join" not in plan and "Exchange" not in plan
