@@ -121,8 +121,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = found.groupBy("id", "key").agg((F.count("*") > 1).cast("long").alias("several"))
     kept = kept.select("k.id", "k.key").distinct().join(rows, ["id", "key"])
     kept = common.cut(kept.select(F.xxhash64("id", "key").alias("pair"), "id", "key", "several"))
-    store = arrays.stored(kept, common.mounted_dir(docs.sparkSession, "kept"), "pairs")  # by this no text is moved
-    common.swept(docs.sparkSession)
+    few = kept.count() <= shingledup.FEW  # by either way no text is moved
+    store = None if few else arrays.stored(kept, common.mounted_dir(docs.sparkSession, "kept"), "pairs")
     own, n = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), len(docs.columns)
     known = docs.where(F.col(f"`{id_col}`").cast("long").isNotNull()).withColumn(names["own_key"], F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("key")))
     known = known.withColumn(names["own_pair"], F.xxhash64(F.col(names["own_key"])["id"], F.col(names["own_key"])["key"]))
@@ -134,7 +134,13 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
             yield common.appended(batch, n + 1, **{names["keep_one"]: pa.array(there["several"])}).filter(pa.array(same))
             common.give_back()
 
-    known = known.mapInArrow(work, common.widened(known.drop(names["own_pair"]), **{names["keep_one"]: "long"}))
+    if few:
+        kept_ = kept.toDF(*(common.free_name(known, c) for c in kept.columns))
+        _, id_, key_, several_ = map(kept_.__getitem__, kept_.columns)
+        known = known.join(F.broadcast(kept_), (F.col(names["own_key"])["id"] == id_) & (F.col(names["own_key"])["key"] == key_))
+        known = known.withColumn(names["keep_one"], several_).drop(names["own_pair"], *kept_.columns)
+    else:
+        known = known.mapInArrow(work, common.widened(known.drop(names["own_pair"]), **{names["keep_one"]: "long"}))
     out = known.where(F.col(names["keep_one"]) == 0).drop(*names.values())
     if kept.where("several = 1").limit(1).count():  # equal rows of one id: one of them
         order = Window.partitionBy(names["own_key"]).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))

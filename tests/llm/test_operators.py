@@ -816,8 +816,11 @@ def test_a_stored_table_is_looked_up_in_tasks(spark, tmp_path):
     assert not arrays.held(arrays.stored(rows.limit(0), str(tmp_path), "none"), pa.array([1], pa.int64()), b=np.int64(0))["hit"].any()
 
 
-def test_texts_are_not_joined_to_find_those_that_stay(spark):
-    """Neither a shuffle of texts nor a broadcast of what is kept, whose size follows the table."""
+def test_texts_are_not_joined_to_find_those_that_stay(spark, monkeypatch):
+    """Beyond the bound, neither a shuffle of texts nor a broadcast of what is kept, whose size follows the table."""
+    from listing_lake.llm import shingledup
+
+    monkeypatch.setattr(shingledup, "FEW", 0)
     kept = simhash.without_near_duplicates(docs(spark, list(enumerate(["a b c d e f", "a b c d e f", "g", None]))))
     plan = kept._jdf.queryExecution().sparkPlan().toString()
     assert kept.count() == 3 and "Join" not in plan and "Exchange" not in plan
